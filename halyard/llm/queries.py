@@ -1,8 +1,9 @@
 """The operators' queries over the driver's tables, and their DuckDB SQL where SQL can express them."""
 
-from halyard.llm import quality, url_filter
+from halyard.llm import minhash, quality, url_filter
 
 QUERIES = {
+    "op1_minhash": minhash.op1_minhash,
     "op5_quality": quality.op5_quality,
     "op10_url_filter": url_filter.op10_url_filter,
 }
