@@ -1,10 +1,13 @@
 """The operators' queries over the driver's tables, and their DuckDB SQL where SQL can express them."""
 
-from halyard.llm import minhash, quality, url_filter
+from halyard.llm import langid, minhash, packing, quality, toxicity, url_filter
 
 QUERIES = {
     "op1_minhash": minhash.op1_minhash,
+    "op2_packing": packing.op2_packing,
+    "op3_toxicity": toxicity.op3_toxicity,
     "op5_quality": quality.op5_quality,
+    "op8_language": langid.op8_language,
     "op10_url_filter": url_filter.op10_url_filter,
 }
 
