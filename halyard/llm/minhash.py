@@ -7,10 +7,11 @@ probability below MISS, and much less often above it.
 1. Signatures: one Arrow pass; documents with equal shingle sets become one class (map-side combined), represented by its
    smallest id. Only representatives go on.
 2. Buckets: a representative enters table (i, j) only if some other one shares A_i and some other one shares B_j.
-3. Links: in each bucket the member that is best connected over all tables is the hub; every other member is compared with it on
-   full sets. Buckets whose members are all in one component are done. In the others every member outside the hub's component
-   becomes a pivot, PIVOTS, then 4 times as many in each round, and meets all members of other components, until no untested
-   pair is left. Groups of copies are thus linked by stars, never by all pairs, and no candidate is dropped.
+3. Links: in each bucket the member that is best connected over all tables is the hub, and every other member is compared with
+   it on full sets. Two members that both link to their hub need no test of their own. For the others an exact prefix filter works
+   on each member's difference from the hub (shingles added, then shingles removed): |x ^ y| = |Dx ^ Dy|, and as x does not link to
+   the hub, Dx is large, so a linked pair must share elements at the head of both differences. Only such pairs are compared.
+   Groups of copies are thus linked by stars, never by all pairs, and no pair that meets in a table is dropped.
 4. Components: minimum labels spread over links with pointer jumping; each round is a written table.
 
 Every exchange is by bucket key, document or link; hot keys are only in joins, which Spark splits, and in aggregates that
@@ -31,7 +32,6 @@ from halyard.llm.common import drop_written, read, written
 
 ROWS = 3
 MISS = 5e-4
-PIVOTS = 4
 
 
 def collections(threshold: float) -> int:
@@ -111,6 +111,43 @@ def verified(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame
     return x.select("u", "v", "su", "sv").mapInPandas(run, "u long, v long")
 
 
+def stars(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
+    """(h, x, nx, d, linked, head, probe) of hub and member pairs: d is the size of x's difference from h; the heads are what a linked partner must meet.
+
+    head: against a partner that does not link to h. probe: against one that does; null if x itself links.
+    """
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            rows = []
+            for h, x, sh, sx in zip(b["h"], b["x"], b["sh"], b["sx"], strict=True):
+                p, q = np.frombuffer(sh, np.int64), np.frombuffer(sx, np.int64)
+                added, removed = np.setdiff1d(q, p, assume_unique=True), np.setdiff1d(p, q, assume_unique=True)
+                both, d = len(q) - len(added), len(added) + len(removed)
+                linked = den * both >= num * (len(p) + len(q) - both)
+                need = ((den + num) * d + (den - num) * (len(p) - len(q))) // (2 * (den + num)) + 1
+                order = np.concatenate([added, removed])
+                probe = None if linked else order[: d - max(1, -(-(num * d - (den - num) * len(q)) // num)) + 1]
+                rows.append((h, x, len(q), d, linked, order[: max(0, d - need + 1)], probe))
+            yield pd.DataFrame(rows, columns=["h", "x", "nx", "d", "linked", "head", "probe"])
+
+    j = pairs.join(sets.withColumnsRenamed({"id": "x", "s": "sx"}), "x").join(sets.withColumnsRenamed({"id": "h", "s": "sh"}), "h")
+    return j.select("h", "x", "sh", "sx").mapInPandas(run, "h long, x long, nx long, d long, linked boolean, head array<long>, probe array<long>")
+
+
+def across(star: DataFrame, num: int, den: int) -> DataFrame:
+    """(u, v): pairs of one hub's members that may link although not both link to the hub."""
+    out = star.filter("NOT linked")
+    heads = out.select("h", F.col("x").alias("u"), F.col("nx").alias("nu"), F.explode("head").alias("e"))
+    mate = heads.withColumnsRenamed({"u": "v", "nu": "nv"})
+    near = f"{den} * least(nu, nv) >= {num} * greatest(nu, nv)"
+    outer = heads.join(mate, ["h", "e"]).filter(f"u < v AND {near}").select("u", "v")
+    probes = out.select("h", F.col("x").alias("u"), F.col("nx").alias("nu"), F.explode("probe").alias("e"))
+    inner = star.filter("linked").select("h", F.col("x").alias("v"), F.col("nx").alias("nv"), F.explode("head").alias("e"))
+    mixed = probes.join(inner, ["h", "e"]).filter(near).select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v"))
+    return outer.union(mixed).distinct()
+
+
 def components(links: DataFrame, nodes: DataFrame) -> DataFrame:
     """(id, c): the smallest id that each node reaches. nodes: id."""
     both = written(links.select("u", "v").union(links.select("v", "u")).distinct(), "links")
@@ -143,34 +180,12 @@ def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text", word
     drop_written(member)
     sets = written(sets_of(df, ranked.select("id").distinct(), key, text, words).dropDuplicates(["id"]), "sets")
 
-    hub = ranked.groupBy("key").agg(F.max(F.struct("score", (-F.col("id")).alias("neg"), F.col("n").alias("hn"))).alias("hub"))
-    near = f"{den} * least(n, hn) >= {num} * greatest(n, hn)"
-    star = ranked.join(hub.select("key", (-F.col("hub.neg")).alias("h"), "hub.hn"), "key")
-    first = star.filter(f"id <> h AND {near}").select(F.least("id", "h").alias("u"), F.greatest("id", "h").alias("v")).distinct()
-    links = written(verified(first, sets, num, den), "verified")
-    nodes = ranked.select("id").distinct()
-    comp = components(links, nodes)
-    done, pivots = 0, PIVOTS
-    while True:  # buckets that still hold several components
-        of = ranked.join(comp, "id").join(hub.select("key", (-F.col("hub.neg")).alias("h")), "key").join(comp.withColumnsRenamed({"id": "h", "c": "hc"}), "h")
-        mixed = of.groupBy("key").agg((F.min("c") != F.max("c")).alias("mixed")).filter("mixed").select("key")
-        rest = written(of.join(mixed, "key").withColumn("o", F.xxhash64("id", "key")).select("key", "id", "n", "c", "hc", "score", "o"), "mixed")
-        outside = rest.filter("c <> hc").withColumn("at", F.expr("row_number() OVER (PARTITION BY key ORDER BY score DESC, id)"))
-        turn = outside.filter((F.col("at") > done) & (F.col("at") <= done + pivots)).select("key", F.col("id").alias("p"), F.col("n").alias("hn"), F.col("c").alias("pc"))
-        again = rest.join(turn, "key").filter(f"c <> pc AND {near}").select(F.least("id", "p").alias("u"), F.greatest("id", "p").alias("v")).distinct()
-        again = written(again, "pairs")
-        last = not turn.limit(1).count()
-        if not last and again.limit(1).count():
-            more = written(verified(again, sets, num, den), "verified")
-            if more.limit(1).count():
-                links = written(links.union(more), "verified")
-                comp = components(links, nodes)
-                done = -pivots  # fewer outsiders are left, in a new order
-        done, pivots = done + pivots, pivots * 4
-        drop_written(rest)
-        drop_written(again)
-        if last:
-            break
+    hub = ranked.groupBy("key").agg(F.max(F.struct("score", (-F.col("id")).alias("neg"))).alias("hub"))
+    met = ranked.join(hub.select("key", (-F.col("hub.neg")).alias("h")), "key").filter("id <> h").select("h", F.col("id").alias("x")).distinct()
+    star = written(stars(met, sets, num, den), "stars")
+    more = verified(across(star, num, den), sets, num, den)
+    links = written(star.filter("linked").select(F.col("h").alias("u"), F.col("x").alias("v")).union(more), "verified")
+    comp = components(links, ranked.select("id").distinct())
     labelled = reps.join(comp, "id", "left").select("n", "d1", "d2", F.coalesce("c", "id").alias("component_id"))
     empty = sig.filter("n = 0 OR id IS NULL").select("id", "n", F.when(F.col("n") == 0, F.col("id")).alias("component_id"))
     full = sig.filter("n > 0 AND id IS NOT NULL").join(labelled, ["n", "d1", "d2"]).select("id", "n", "component_id")
