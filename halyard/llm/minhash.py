@@ -138,13 +138,16 @@ def stars(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
 def across(star: DataFrame, num: int, den: int) -> DataFrame:
     """(u, v): pairs of one hub's members that may link although not both link to the hub."""
     out = star.filter("NOT linked")
-    heads = out.select("h", F.col("x").alias("u"), F.col("nx").alias("nu"), F.explode("head").alias("e"))
-    mate = heads.withColumnsRenamed({"u": "v", "nu": "nv"})
-    near = f"{den} * least(nu, nv) >= {num} * greatest(nu, nv)"
-    outer = heads.join(mate, ["h", "e"]).filter(f"u < v AND {near}").select("u", "v")
-    probes = out.select("h", F.col("x").alias("u"), F.col("nx").alias("nu"), F.explode("probe").alias("e"))
-    inner = star.filter("linked").select("h", F.col("x").alias("v"), F.col("nx").alias("nv"), F.explode("head").alias("e"))
-    mixed = probes.join(inner, ["h", "e"]).filter(near).select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v"))
+
+    def side(rows: DataFrame, heads: str, s: str) -> DataFrame:
+        return rows.select("h", F.col("x").alias(s), F.col("nx").alias(f"n{s}"), F.col("d").alias(f"d{s}"), F.posexplode(heads).alias(f"i{s}", "e"))
+
+    # at the first element that two differences share, what follows it must still make up the overlap that a link needs
+    fits = f"{2 * (den + num)} * least(du - iu, dv - iv) >= {den + num} * (du + dv) - {den - num} * (nu + nv)"
+    near = f"{den} * least(nu, nv) >= {num} * greatest(nu, nv) AND {fits}"
+    outer = side(out, "head", "u").join(side(out, "head", "v"), ["h", "e"]).filter(f"u < v AND {near}").select("u", "v")
+    mixed = side(out, "probe", "u").join(side(star.filter("linked"), "head", "v"), ["h", "e"]).filter(near)
+    mixed = mixed.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v"))
     return outer.union(mixed).distinct()
 
 
