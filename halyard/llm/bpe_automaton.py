@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from halyard.llm.common import read
 
 MAX_ARCS = 1_000_000
-MAX_PIECES = 200_000
+MAX_PIECES = 1_000_000
 #: Characters that the normaliser only lower-cases one by one, and none of which is white space.
 _PLAIN = re.compile("[!-~\u00a1-\u012f\u0131-\u024f]+")
 
