@@ -45,15 +45,16 @@ class Automaton:
             if w not in self.rank:
                 self.rank[w], self.left[w], self.right[w] = r, a, b
         self.longest = max((len(t) for t in vocab), default=1)
-        self.arcs: dict[tuple[int, int], bool] = {}
+        self.arcs: dict[int, bool] = {}
+        # tokens that some merge makes, and single symbols; others are never produced
+        single = {t for t in vocab if len(t) == 1 or (suffix and len(t) == 1 + len(suffix) and t.endswith(suffix))}
+        self.reach = {t: i for t, i in vocab.items() if i in self.rank or t in single}
 
     def follows(self, x: int, y: int) -> bool:
         """Whether token y may follow token x once all gadgets are applied."""
-        known = self.arcs.get((x, y))
-        if known is None:
-            if len(self.arcs) >= MAX_ARCS:
-                self.arcs.clear()
-            known = self.arcs[x, y] = self._resolve(x, y)
+        if len(self.arcs) >= MAX_ARCS:
+            self.arcs.clear()
+        known = self.arcs[x << 24 | y] = self._resolve(x, y)
         return known
 
     def _resolve(self, x: int, y: int) -> bool:
@@ -71,15 +72,23 @@ class Automaton:
                 before, y = ry + 1, self.left[y]
 
     def encode(self, word: str) -> list[int]:
-        n, vocab = len(word), self.vocab
+        n, get, arcs, longest = len(word), self.reach.get, self.arcs.get, self.longest
         state: list[int | None] = [None] * (n + 1)
         for end in range(1, n + 1):
-            tail = self.suffix if end == n else ""
-            for start in range(max(0, end - self.longest), end):
-                t = vocab.get(word[start:end] + tail)
-                if t is not None and (start == 0 or (state[start] is not None and self.follows(state[start], t))) and (t in self.rank or end - start == 1):
-                    state[end] = t
-                    break
+            prefix = word + self.suffix if end == n else word[:end]
+            for start in range(end - longest if end > longest else 0, end):
+                t = get(prefix[start:])
+                if t is None:
+                    continue
+                if start:
+                    last = state[start]
+                    if last is None:
+                        continue
+                    known = arcs(last << 24 | t)
+                    if not (self.follows(last, t) if known is None else known):
+                        continue
+                state[end] = t
+                break
         out, at = [], n
         while at:
             t = state[at]
