@@ -17,7 +17,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from halyard.llm.common import fold, read
+from halyard.llm.common import fold, read, small_batches, tidy
 
 WINDOW = 128
 HIDDEN = 8
@@ -169,6 +169,7 @@ def fit(rows: list[tuple[str, str]], seed: int = 7) -> dict | None:
 
 
 def train(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "lang", folds: int = 3, held_out: int = 1) -> dict | None:
+    small_batches(docs.sparkSession)
     rows = docs.select(F.col(key).cast("long").alias("k"), F.col(text).alias("t"), F.col(lang).alias("l")).withColumn("f", fold("k", folds)).filter(f"l IS NOT NULL AND t IS NOT NULL AND f <> {held_out}")
     sizes = {r[0]: r[1] for r in rows.select("l").groupBy("l").count().collect()}  # one row per language
     cut = F.lit(0)
@@ -195,6 +196,7 @@ def predictor(model: dict | None, text: str = "text") -> Column:
                     for j, b, q in zip(run_of, best, probs, strict=True):
                         names[j], score[j] = model["names"][b], min(1.0, q[b])
                     size, run_of = 0, []
+        tidy()
         return pd.DataFrame({"lang_pred": names, "score": score})
 
     run.__annotations__ = {"texts": pd.Series, "return": pd.DataFrame}

@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from halyard.llm import shingles as S
-from halyard.llm.common import drop_written, read, written
+from halyard.llm.common import drop_written, read, small_batches, tidied, written
 
 ROWS = 3
 MISS = 5e-4
@@ -46,7 +46,7 @@ def signatures(df: DataFrame, key: str, text: str, words: int, m: int) -> DataFr
     tag = S.mix(np.arange(1, 2 * m + 1, dtype=S.U))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
+        for b in tidied(batches):
             ids = b["id"]
             for first, docs in S.chunks(b["text"].tolist()):
                 sets, n = S.shingle_sets(docs, words)
@@ -84,7 +84,7 @@ def sets_of(df: DataFrame, ids: DataFrame, key: str, text: str, words: int) -> D
     """(id, s): sorted shingle hashes, as bytes, of the given ids' texts."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
+        for b in tidied(batches):
             keys = b["id"].tolist()
             for first, docs in S.chunks(b["text"].tolist()):
                 sets, n = S.shingle_sets(docs, words)
@@ -99,7 +99,7 @@ def verified(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame
     """The (u, v) pairs with den * |intersection| >= num * |union|."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
+        for b in tidied(batches):
             keep = []
             for x, y in zip(b["su"], b["sv"], strict=True):
                 p, q = np.frombuffer(x, S.U), np.frombuffer(y, S.U)
@@ -118,7 +118,7 @@ def stars(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
     """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
+        for b in tidied(batches):
             rows = []
             for h, x, sh, sx in zip(b["h"], b["x"], b["sh"], b["sx"], strict=True):
                 p, q = np.frombuffer(sh, np.int64), np.frombuffer(sx, np.int64)
@@ -171,6 +171,7 @@ def components(links: DataFrame, nodes: DataFrame) -> DataFrame:
 
 def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text", words: int = 5, num: int = 80, den: int = 100) -> DataFrame:
     """key, n_shingles, component_id, kept per row. Links: den * intersection >= num * union of the word-shingle sets."""
+    small_batches(df.sparkSession)
     m = collections(num / den)
     sig = written(signatures(df, key, text, words, m), "signatures")
     classes = sig.filter("n > 0 AND id IS NOT NULL").groupBy("n", "d1", "d2").agg(F.min("id").alias("id"), F.first("bands").alias("bands"))

@@ -21,7 +21,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from halyard.llm.common import fold, read
+from halyard.llm.common import fold, read, small_batches, tidy
 
 MAX_CLASS = 4000
 #: A pattern needs so many toxic texts, and that share of them.
@@ -133,6 +133,7 @@ class Matcher:
 
 
 def train(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "toxic", folds: int = 5, held_out: int = 0) -> dict:
+    small_batches(docs.sparkSession)
     pool = labels.select(F.col(key).cast("long").alias("__k"), F.col(label).alias("__y")).filter(F.col("__y").isin(0, 1)).withColumn("__f", fold("__k", folds)).filter(F.col("__f") != held_out)
     pool = pool.select("__k", "__y").dropDuplicates(["__k"])
     sizes = {r[0]: r[1] for r in pool.groupBy("__y").count().collect()}  # two rows
@@ -153,7 +154,9 @@ def scorer(model: dict, text: str = "text") -> Column:
     def run(texts: pd.Series) -> pd.Series:
         if not made:
             made.append(Matcher(model))
-        return pd.Series([made[0].score(t) for t in texts], dtype="float64")
+        out = pd.Series([made[0].score(t) for t in texts], dtype="float64")
+        tidy()
+        return out
 
     run.__annotations__ = {"texts": pd.Series, "return": pd.Series}
     return F.pandas_udf(run, "double")(F.col(text))
