@@ -15,8 +15,8 @@ from pyspark.sql import functions as F
 
 from halyard.llm.common import read
 
-MAX_NODES = 300_000
-MAX_WORDS = 300_000
+MAX_NODES = 1_200_000
+MAX_WORDS = 1_000_000
 UNKNOWN_PENALTY = 10.0
 MARK = "▁"
 
@@ -34,7 +34,7 @@ def vocabulary(path: str | None = None) -> dict[str, float]:
 class Trie:
     def __init__(self, pieces: dict[str, float]):
         self.pieces = pieces
-        self.longest = max(map(len, pieces), default=1)
+        self.tails = {p[i:] for p in pieces for i in range(len(p))}
         self.unknown = min(pieces.values(), default=0.0) - UNKNOWN_PENALTY
         self.clear()
 
@@ -57,9 +57,13 @@ class Trie:
 
     def _grow(self, token: str, end: int, path: list[int]) -> int:
         best, count, gap = None, 0, False
-        for start in range(max(0, end - self.longest), end):
-            score = self.pieces.get(token[start:end])
-            if score is not None and (best is None or self.best[path[start]] + score > best):
+        tails, pieces = self.tails, self.pieces
+        for start in range(end - 1, -1, -1):
+            piece = token[start:end]
+            if piece not in tails:  # nor does any piece end with a longer one
+                break
+            score = pieces.get(piece)
+            if score is not None and (best is None or self.best[path[start]] + score >= best):
                 best, count = self.best[path[start]] + score, self.count[path[start]] + 1
         if token[end - 1] not in self.pieces:
             score = self.best[path[end - 1]] + self.unknown
