@@ -1,9 +1,9 @@
 """Token-id files coded by an adaptive context-mixing range coder (operator 7).
 
 Ids are coded in blocks of at most BLOCK ids, each starting from a reset model and carrying its length and CRC-32, so any block can
-be read alone and a damaged one is noticed. For each id the model asks in turn: is it the id that last followed these two ids
-(order 2)? the id that last followed this id (order 1)? If neither, its bits are coded with a mix of order-0 and order-1 bit
-probabilities. All answers go through a binary arithmetic coder with adaptive probabilities. The blocks of a batch are coded in
+be read alone and a damaged one is noticed. For each id a flag says whether it is the id that last followed these two ids (order 2),
+else the id that last followed this id (order 1), or neither; then its hexadecimal digits follow, each by the mixed counts that its
+digits so far have met in the block (order 0) and after the previous id (order 1). The blocks of a batch are coded in
 lock step, one numpy lane each; the lanes share nothing, so the bytes of a block do not depend on its neighbours.
 
 A file set is a folder of Parquet files, one row per run of whole documents: part and run number, document ids, id counts, and the
@@ -26,108 +26,130 @@ from halyard.llm.common import read, scratch
 BLOCK = 4096
 LANES = 512
 RUN = 1 << 17
+DIGIT = 4
 _SLOTS = 1 << 12
+_CONTEXTS = 1 << 11
 _HEAD = struct.Struct("<III")
-_ONE = 1 << 16
+_MASK, _TOP, _LEAST = (1 << 48) - 1, 1 << 32, 1 << 16
 
 
 class Coder:
-    """Binary arithmetic coding in many lanes. Probabilities are of a 1, in 1..65535 out of 65536."""
+    """Range coding of symbols in many lanes, 16 bits at a time, without carries: a range that straddles two words is cut short."""
 
     def __init__(self, lanes: int, capacity: int, source: list[bytes] | None = None):
-        self.lo, self.hi = np.zeros(lanes, np.int64), np.full(lanes, 0xFFFFFFFF, np.int64)
+        self.low, self.range = np.zeros(lanes, np.int64), np.full(lanes, _MASK, np.int64)
         self.reading = source is not None
         self.at = np.zeros(lanes, np.int64)
         if self.reading:
-            size = max(map(len, source)) + 8
-            self.buf = np.frombuffer(b"".join(s.ljust(size, b"\0") for s in source), np.uint8).reshape(lanes, size)
-            head = self.buf[:, :4].astype(np.int64)
-            self.x = head[:, 0] << 24 | head[:, 1] << 16 | head[:, 2] << 8 | head[:, 3]
-            self.at += 4
+            self.size = max(map(len, source)) // 2 + 8
+            self.buf = np.frombuffer(b"".join(s.ljust(2 * self.size, b"\0") for s in source), "<u2")
+            head = self.buf.reshape(lanes, self.size)[:, :3].astype(np.int64)
+            self.x = head[:, 0] << 32 | head[:, 1] << 16 | head[:, 2]
+            self.at += 3
         else:
-            self.buf = np.zeros((lanes, capacity), np.uint8)
-
-    def code(self, lanes: np.ndarray, p: np.ndarray, bits: np.ndarray | None) -> np.ndarray:
-        lo, hi = self.lo[lanes], self.hi[lanes]
-        mid = lo + ((hi - lo) >> 16) * p + ((((hi - lo) & 0xFFFF) * p) >> 16)
+            self.size = capacity
+            self.buf = np.zeros(lanes * capacity, "<u2")
+
+    def code(self, lanes: np.ndarray, counts: np.ndarray, symbols: np.ndarray | None) -> np.ndarray:
+        """Code one symbol in each of the lanes, or read it. counts: (lanes, alphabet), of a sum in 1..65535."""
+        upto = np.cumsum(counts, axis=1, dtype=np.int64)
+        total, low = upto[:, -1], self.low[lanes]
+        unit = self.range[lanes] // total
         if self.reading:
             x = self.x[lanes]
-            bits = x <= mid
-        hi = np.where(bits, mid, hi)
-        lo = np.where(bits, lo, mid + 1)
-        move = np.flatnonzero((lo ^ hi) < 1 << 24)
+            symbols = (upto <= np.minimum((x - low) // unit, total - 1)[:, None]).sum(1)
+        own = np.arange(len(lanes))
+        count = counts[own, symbols].astype(np.int64)
+        low += unit * (upto[own, symbols] - count)
+        size = unit * count
+        move = np.flatnonzero(((low ^ (low + size)) < _TOP) | (size < _LEAST))
         while len(move):
-            who = lanes[move]
+            a, b, who = low[move], size[move], lanes[move]
+            b = np.where((a ^ (a + b)) < _TOP, b, -a & (_LEAST - 1))
+            place = who * self.size + np.minimum(self.at[who], self.size - 1)
             if self.reading:
-                x[move] = (x[move] << 8 & 0xFFFFFFFF) | self.buf[who, np.minimum(self.at[who], self.buf.shape[1] - 1)]
+                x[move] = (x[move] << 16 & _MASK) | self.buf[place]
             else:
-                self.buf[who, self.at[who]] = hi[move] >> 24
+                self.buf[place] = a >> 32
             self.at[who] += 1
-            lo[move] = lo[move] << 8 & 0xFFFFFFFF
-            hi[move] = (hi[move] << 8 & 0xFFFFFFFF) | 255
-            move = move[(lo[move] ^ hi[move]) < 1 << 24]
-        self.lo[lanes], self.hi[lanes] = lo, hi
+            a, b = a << 16 & _MASK, b << 16
+            low[move], size[move] = a, b
+            move = move[((a ^ (a + b)) < _TOP) | (b < _LEAST)]
+        self.low[lanes], self.range[lanes] = low, size
         if self.reading:
             self.x[lanes] = x
-        return bits
+        return symbols
 
     def finish(self) -> list[bytes]:
-        """Four bytes of a number inside each lane's range end it."""
-        out = []
-        for i in range(len(self.lo)):
-            out.append(self.buf[i, : self.at[i]].tobytes() + struct.pack(">I", int(self.hi[i])).rstrip(b"\0"))
+        """Three words of a number inside each lane's range end it."""
+        out, words = [], self.buf.reshape(-1, self.size)
+        for row, at, v in zip(words, self.at, self.low + self.range - 1, strict=True):
+            v = int(v)
+            out.append(row[:at].tobytes() + struct.pack("<HHH", v >> 32, v >> 16 & 0xFFFF, v & 0xFFFF))
         return out
 
 
+class Counts:
+    """Adaptive symbol counts: one table of contexts for each lane. A row is halved when a count in it passes the limit."""
+
+    def __init__(self, lanes: int, contexts: int, start: list[int], limit: int):
+        self.contexts, self.width, self.limit = contexts, len(start), limit
+        self.rows = np.zeros((lanes * contexts, self.width), np.uint16)
+        if any(start):
+            self.rows[:] = start
+
+    def look(self, lanes: np.ndarray, context: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        at = lanes * self.contexts + context
+        return at, self.rows.take(at, axis=0)
+
+    def learn(self, at: np.ndarray, symbols: np.ndarray, step: int) -> None:
+        flat, cell = self.rows.reshape(-1), at * self.width + symbols
+        count = flat[cell] + np.uint16(step)
+        flat[cell] = count
+        over = at[count > self.limit]
+        if len(over):
+            self.rows[over] >>= 1
+
+
 def run_model(coder: Coder, sizes: np.ndarray, width: int, ids: np.ndarray | None) -> np.ndarray:
     """Code (ids given) or decode lanes of the given sizes, longest first. ids: (lanes, longest)."""
-    n = len(sizes)
+    n, digits = len(sizes), -(-width // DIGIT)
     out = np.zeros((n, int(sizes.max())), np.int64) if ids is None else ids
-    t2, t1 = np.zeros((n, _SLOTS), np.int32), np.zeros((n, _SLOTS), np.int32)
-    c2, c1 = np.zeros((n, _SLOTS), np.int8), np.zeros((n, _SLOTS), np.int8)
-    p2, p1 = np.full((n, 4), _ONE // 2, np.int64), np.full((n, 4), _ONE // 2, np.int64)
-    b0, b1 = np.full((n, _SLOTS), _ONE // 2, np.int32), np.full((n, _SLOTS), _ONE // 2, np.int32)
+    guess = [np.zeros(n * _SLOTS, np.int32) for _ in "21"]  # the id that last followed two ids, one id
+    trust = [np.zeros(n * _SLOTS, np.int8) for _ in "21"]
+    flags, floor = Counts(n, 32, [4, 4, 8, 0], 4096), np.array([1, 1, 1, 0], np.uint16)  # no flag loses its share
+    order0, order1 = (Counts(n, _CONTEXTS, [0] * (1 << DIGIT), 1024) for _ in "01")
     prev, before = np.zeros(n, np.int64), np.zeros(n, np.int64)
-
-    def learn(table, rows, cols, bits, rate):
-        v = table[rows, cols]
-        table[rows, cols] = v + ((np.where(bits, _ONE - 32, 32) - v) >> rate)
-
     for t in range(out.shape[1]):
         live = np.arange(int(np.searchsorted(-sizes, -t, "left")))  # lanes longer than t
         a, b = prev[live], before[live]
         want = None if ids is None else ids[live, t]
-        h2, h1 = ((a * 40503 + b * 30011) >> 3) & (_SLOTS - 1), (a * 25717 >> 2) & (_SLOTS - 1)
-        g2, g1 = t2[live, h2], t1[live, h1]
-        k2, k1 = c2[live, h2], c1[live, h1]
-        hit2 = coder.code(live, p2[live, k2], None if want is None else want == g2)
-        learn(p2, live, k2, hit2, 4)
-        value = g2.astype(np.int64)
-        rest = np.flatnonzero(~hit2)
-        hit1 = np.zeros(len(live), bool)
-        if len(rest):
-            lanes = live[rest]
-            hit1[rest] = coder.code(lanes, p1[lanes, k1[rest]], None if want is None else want[rest] == g1[rest])
-            learn(p1, lanes, k1[rest], hit1[rest], 4)
-            value[rest] = g1[rest]
-            miss = rest[~hit1[rest]]
-            if len(miss):
-                lanes, node, salt = live[miss], np.ones(len(miss), np.int64), a[miss] * 7919
-                w = None if want is None else want[miss]
-                for k in range(width - 1, -1, -1):
-                    n0, n1 = (node ^ node >> 12) & (_SLOTS - 1), ((node * 10007 + salt) >> 4) & (_SLOTS - 1)
-                    q0, q1 = b0[lanes, n0], b1[lanes, n1]
-                    sure = np.abs(q1 - _ONE // 2) > np.abs(q0 - _ONE // 2)
-                    p = (np.where(sure, q0 + 3 * q1, 3 * q0 + q1) >> 2).astype(np.int64)
-                    bit = coder.code(lanes, p, None if w is None else (w >> k & 1).astype(bool))
-                    learn(b0, lanes, n0, bit, 4)
-                    learn(b1, lanes, n1, bit, 3)
-                    node = node << 1 | bit
-                value[miss] = node - (1 << width)
-        for table, conf, slot, guess, seen in ((t2, c2, h2, g2, k2), (t1, c1, h1, g1, k1)):
-            same = guess == value
-            conf[live, slot] = np.where(same, np.minimum(seen + 1, 3), np.where(seen > 1, seen - 1, 0))
-            table[live, slot] = np.where(same | (seen > 1), guess, value)
+        slot = [live * _SLOTS + (((a * 40503 + b * 30011) >> 3) & (_SLOTS - 1)), live * _SLOTS + ((a * 25717 >> 2) & (_SLOTS - 1))]
+        g2, g1 = (g[s].astype(np.int64) for g, s in zip(guess, slot, strict=True))
+        k2, k1 = (c[s] for c, s in zip(trust, slot, strict=True))
+        at, counts = flags.look(live, k2 * 4 + k1 + 16 * (g2 == g1))
+        flag = coder.code(live, counts + floor, None if want is None else np.where(want == g2, 0, np.where(want == g1, 1, 2)))
+        flags.learn(at, flag, 24)
+        value = np.where(flag == 0, g2, g1)
+        miss = np.flatnonzero(flag == 2)
+        if len(miss):
+            lanes, node, salt = live[miss], np.ones(len(miss), np.int64), a[miss] * 40503
+            w = None if want is None else want[miss]
+            for k in range((digits - 1) * DIGIT, -1, -DIGIT):
+                at0, c0 = order0.look(lanes, (node ^ node >> 11) & (_CONTEXTS - 1))
+                at1, c1 = order1.look(lanes, ((node * 10007 + salt) * 40507 >> 13) & (_CONTEXTS - 1))
+                mixed = c1 << np.uint16(1)  # counts add up, so the surer context weighs more; each symbol keeps a share
+                mixed += c0
+                mixed += np.uint16(1)
+                digit = coder.code(lanes, mixed, None if w is None else w >> k & ((1 << DIGIT) - 1))
+                order0.learn(at0, digit, 24)
+                order1.learn(at1, digit, 24)
+                node = node << DIGIT | digit
+            value[miss] = node - (1 << digits * DIGIT)
+        for g, c, s, old, seen in zip(guess, trust, slot, (g2, g1), (k2, k1), strict=True):
+            same = old == value
+            c[s] = np.where(same, np.minimum(seen + 1, 3), np.where(seen > 1, seen - 1, 0))
+            g[s] = np.where(same | (seen > 1), old, value)
         if ids is None:
             out[live, t] = value
         before[live], prev[live] = a, value
@@ -144,7 +166,7 @@ def encode_blocks(blocks: list[np.ndarray], width: int) -> list[bytes]:
         ids = np.zeros((len(some), max(1, int(sizes.max()))), np.int64)
         for r, i in enumerate(some):
             ids[r, : sizes[r]] = blocks[i]
-        coder = Coder(len(some), 8 + ids.shape[1] * (width + 4))
+        coder = Coder(len(some), 8 + 2 * ids.shape[1] * (2 + width // DIGIT))
         run_model(coder, sizes, width, ids)
         for i, code in zip(some, coder.finish(), strict=True):
             raw = blocks[i].astype("<u4").tobytes()
