@@ -3,8 +3,9 @@
 Vectors are packed into blocks. For a query q and a candidate x cut into segments, the segment means m and deviations d bound the
 squared distance from below by the sum of n * ((mq - mx)^2 + (dq - dx)^2), which is the same as bounding the inner product from
 above by the sum of n * (mq * mx + dq * dx): one small matrix product per resolution. In each pair of a query block and a candidate
-block the coarse bounds pick k candidates per query, whose exact scores give a threshold; what passes the coarse and then the
-fine bounds is scored exactly. The best k of all blocks follow by a window that keeps k rows per query and partition.
+block the coarse bounds pick k candidates per query, whose exact scores give a threshold, and a task carries the best scores of a
+query on to its next candidate block; what passes the coarse and then the fine bounds is scored exactly, by a matrix product where it
+fills one. The best k of all blocks follow by a window that keeps k rows per query and partition.
 
 Every query meets every candidate block through an equi-join on a slot number, so neither side is broadcast or collected.
 Scores are integers: exact in float64 up to 2^53, beyond that Python integers, held to the range of a long. Vectors that are null,
@@ -12,6 +13,7 @@ empty, or hold a null or non-finite component take no part, nor do rows without
 Repeated ids are separate rows: each is a query, and only the row itself is left out of its candidates.
 """
 
+from collections import OrderedDict
 from collections.abc import Iterator
 
 import numpy as np
@@ -25,6 +27,10 @@ ROWS = 2048
 SLOTS = 64
 LEVELS = (4, 16)
 SCALE = 64
+#: Pairs are scored by a matrix product if they are at least one in so many of its cells.
+DENSE = 16
+#: Query blocks whose best scores a task remembers; forgetting some costs time and changes no result.
+KNOWN = 128
 _I64 = np.iinfo(np.int64)
 
 
@@ -36,43 +42,73 @@ def statistics(x: np.ndarray, segments: int) -> np.ndarray:
     return np.concatenate([mean, dev], 1) * np.sqrt(np.tile([len(p) for p in parts], 2))
 
 
-def exact(q: np.ndarray, x: np.ndarray) -> np.ndarray:
-    """Inner products of paired integer rows."""
-    if len(q) and q.shape[1] * np.abs(q).max() * np.abs(x).max() < 2**53:
-        return np.einsum("ij,ij->i", q, x).astype(np.int64)
-    out = [sum(int(a) * int(b) for a, b in zip(r, s, strict=True)) for r, s in zip(q, x, strict=True)]
+def products(q: np.ndarray, x: np.ndarray, qi: np.ndarray, xj: np.ndarray) -> np.ndarray:
+    """Inner products of the pairs (qi, xj) of rows."""
+    chunks = range(0, len(qi), 1 << 18)
+    return np.concatenate([np.zeros(0), *(np.einsum("ij,ij->i", q[qi[at : at + (1 << 18)]], x[xj[at : at + (1 << 18)]]) for at in chunks)])
+
+
+def fits(q: np.ndarray, x: np.ndarray) -> bool:
+    """Whether float64 adds these integers exactly: no sum can pass 2^53."""
+    return q.shape[1] * np.abs(q).max() * np.abs(x).max() < 2**53
+
+
+def scores(q: np.ndarray, x: np.ndarray, qi: np.ndarray, xj: np.ndarray) -> np.ndarray:
+    """Integer inner products of the pairs (qi, xj) of rows."""
+    if fits(q, x):
+        return products(q, x, qi, xj).astype(np.int64)
+    out = (sum(int(a) * int(b) for a, b in zip(q[i], x[j], strict=True)) for i, j in zip(qi, xj, strict=True))
     return np.array([min(max(v, int(_I64.min)), int(_I64.max)) for v in out], np.int64)
 
 
-def block_top(q: np.ndarray, q_rid: np.ndarray, x: np.ndarray, x_rid: np.ndarray, ids: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(query row, candidate row, score) of the k best candidates of each query in one block."""
+def best_of(k: int, *found: np.ndarray) -> np.ndarray:
+    """(n, k): the k largest of each row, filled up with -inf."""
+    s = np.concatenate([*found, np.full((len(found[0]), k), -np.inf)], axis=1)
+    return -np.partition(-s, k - 1, axis=1)[:, :k]
+
+
+def block_top(q: np.ndarray, q_rid: np.ndarray, x: np.ndarray, x_rid: np.ndarray, ids: np.ndarray, k: int, known: np.ndarray | None = None) -> tuple[tuple[np.ndarray, np.ndarray, np.ndarray], np.ndarray]:
+    """(query row, candidate row, score) of the k best candidates of each query in one block, as far as they reach the k best scores
+    `known` from other blocks; and the k best scores of both."""
+    n, m = len(q), min(k, len(x))
+    known = np.full((n, k), -np.inf) if known is None else known
     bound = [(statistics(q, s), statistics(x, s)) for s in LEVELS]
     coarse = bound[0][0] @ bound[0][1].T
-    slack = 1e-9 * (np.abs(bound[0][0]) @ np.abs(bound[0][1]).T) + 1e-6
-    coarse += slack
+    # by Cauchy and Schwarz the rounding of either resolution is far below this share of the product of lengths
+    slack = 1e-9 * np.sqrt((q * q).sum(1).max() * (x * x).sum(1).max()) + 1e-6
     coarse[q_rid[:, None] == x_rid[None, :]] = -np.inf
-    m = min(k, len(x))
-    first = np.argpartition(-coarse, m - 1, axis=1)[:, :m]
-    rows = np.repeat(np.arange(len(q)), m)
-    seen = np.where(np.isfinite(coarse[rows, first.ravel()]), exact(q[rows], x[first.ravel()]).astype(np.float64), -np.inf)
-    least = seen.reshape(len(q), m).min(1) if m == k else np.full(len(q), -np.inf)
-    qi, xj = np.nonzero((coarse >= least[:, None]) & np.isfinite(coarse))
-    out = []
-    for at in range(0, len(qi), 1 << 18):
-        a, b = qi[at : at + (1 << 18)], xj[at : at + (1 << 18)]
-        fine = np.einsum("ij,ij->i", bound[1][0][a], bound[1][1][b])
-        keep = fine * (1 + 1e-9 * np.sign(fine)) + slack[a, b] >= least[a]
+    least = known.min(1)
+    if not np.isfinite(least).all():  # exact scores of the k best bounds give a first threshold
+        first = np.argpartition(-coarse, m - 1, axis=1)[:, :m]
+        rows = np.repeat(np.arange(n), m)
+        seen = scores(q, x, rows, first.ravel()).astype(np.float64).reshape(n, m)
+        seen[~np.isfinite(np.take_along_axis(coarse, first, 1))] = -np.inf
+        least = best_of(k, known, seen).min(1)
+    pair = (coarse >= least[:, None] - slack) & np.isfinite(coarse)
+    del coarse
+    cols = np.flatnonzero(pair.any(0))
+    pair = pair[:, cols]
+    fine_q, fine_x = bound[1][0], bound[1][1][cols]
+    if np.count_nonzero(pair) * DENSE >= pair.size and fits(q, x):
+        pair &= fine_q @ fine_x.T >= least[:, None] - slack
+        all_scores = q @ x[cols].T
+        a, b = np.nonzero(pair & (all_scores >= least[:, None]))
+        s = all_scores[a, b].astype(np.int64)
+    else:
+        a, b = np.nonzero(pair)
+        keep = products(fine_q, fine_x, a, b) >= least[a] - slack
         a, b = a[keep], b[keep]
-        s = exact(q[a], x[b])
+        s = scores(q, x[cols], a, b) if len(a) else np.zeros(0, np.int64)
         keep = s >= least[a]
-        out.append((a[keep], b[keep], s[keep]))
-    if not out:
-        return (np.zeros(0, np.int64),) * 3
-    a, b, s = (np.concatenate(z) for z in zip(*out, strict=True))
+        a, b, s = a[keep], b[keep], s[keep]
+    b = cols[b]
     order = np.lexsort((x_rid[b], ids[b], -s.astype(object) if len(s) and s.min() == _I64.min else -s, a))
     a, b, s = a[order], b[order], s[order]
     place = np.arange(len(a)) - np.searchsorted(a, a)
-    return a[place < k], b[place < k], s[place < k]
+    a, b, s, place = (z[place < k] for z in (a, b, s, place))
+    own = np.full((n, k), -np.inf)
+    own[a, place] = s
+    return (a, b, s), best_of(k, known, own)
 
 
 def blocks(rows: DataFrame) -> DataFrame:
@@ -103,11 +139,15 @@ def search(df: DataFrame, is_query: str, k: int = 20, key: str = "vec_id", vec:
     query = query.select("dim", F.col("rid").alias("q_rid"), F.col("id").alias("q_id"), F.col("x").alias("q"), F.explode(F.sequence(F.lit(0), F.lit(SLOTS - 1))).alias("slot"))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        known: OrderedDict[bytes, np.ndarray] = OrderedDict()
         for b in batches:
             for r in b.itertuples():
                 q, x = np.frombuffer(r.q).reshape(-1, r.dim), np.frombuffer(r.x).reshape(-1, r.dim)
                 q_rid, rid, ids = (np.frombuffer(z, np.int64) for z in (r.q_rid, r.rid, r.id))
-                i, j, s = block_top(q, q_rid, x, rid, ids, k)
+                (i, j, s), known[r.q_rid] = block_top(q, q_rid, x, rid, ids, k, known.get(r.q_rid))
+                known.move_to_end(r.q_rid)
+                if len(known) > KNOWN:
+                    known.popitem(last=False)
                 yield pd.DataFrame({"q_rid": q_rid[i], "query_id": np.frombuffer(r.q_id, np.int64)[i], "rid": rid[j], "id": ids[j], "score": s})
 
     met = query.join(cand, ["dim", "slot"]).select("dim", "q_rid", "q_id", "q", "rid", "id", "x")
