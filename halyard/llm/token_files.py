@@ -240,7 +240,7 @@ def write_files(df: DataFrame, folder: str, tokenizer: str, end_id: int, key: st
         for b in batches:
             texts, parts, keys = [t or "" for t in b["text"]], b["part"].tolist(), b["k"].tolist()
             for at in range(0, len(texts), 64):
-                for part, k, e in zip(parts[at : at + 64], keys[at : at + 64], tok.encode_batch(texts[at : at + 64], add_special_tokens=False), strict=True):
+                for part, k, e in zip(parts[at : at + 64], keys[at : at + 64], tok.encode_batch_fast(texts[at : at + 64], add_special_tokens=False), strict=True):
                     ids = np.array([*e.ids, end_id], np.int64)
                     pending.append((part, None if k is None or k != k else int(k), ids))
                     held += len(ids)
