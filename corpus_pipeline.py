@@ -6,9 +6,6 @@ from pyspark.sql import functions as F
 from halyard.llm import langid, minhash, packing, toxicity
 from halyard.llm.common import read, written
 
-#: A document whose best language has less than this share of its positions is no text in a known language.
-MIN_LANGUAGE_SCORE = 0.25
-
 
 def _only(kept: DataFrame, docs: DataFrame) -> DataFrame:
     return kept.select(*[F.col(f"`{c}`") for c in docs.columns])
@@ -20,8 +17,11 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_unknown_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    out = docs.withColumn("__l", langid.predictor(langid.train(docs)))
-    return _only(out.filter(f"__l.lang_pred <> '{langid.UND}' AND __l.score >= {MIN_LANGUAGE_SCORE}"), docs)
+    """Texts without letters go, and texts with too many byte pairs that no training text has: junk and unlearned scripts."""
+    rows = langid.sample(docs)
+    known, most = langid.known_pairs(rows)
+    out = docs.withColumns({"__l": langid.predictor(langid.fit(rows)), "__strange": langid.strangeness(known)})
+    return _only(out.filter(f"__l.lang_pred <> '{langid.UND}' AND __strange <= {most!r}"), docs)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

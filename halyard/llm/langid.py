@@ -27,6 +27,8 @@ EPOCHS = 8
 BATCH = 256
 BLOCK = 4096
 UND = "und"
+#: No text is rejected for a share of strange byte pairs below this, however alike the training texts are.
+LEAST_STRANGE = 0.25
 _LETTER = re.compile(r"[^\W\d_]")
 
 
@@ -168,7 +170,8 @@ def fit(rows: list[tuple[str, str]], seed: int = 7) -> dict | None:
     return {"names": names, "p": {q: a.astype(np.float32) for q, a in p.items()}}
 
 
-def train(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "lang", folds: int = 3, held_out: int = 1) -> dict | None:
+def sample(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "lang", folds: int = 3, held_out: int = 1) -> list[tuple[str, str]]:
+    """(text, language) of about MAX_DOCS labelled documents per language, chosen by hash, outside the held-out fold."""
     small_batches(docs.sparkSession)
     rows = docs.select(F.col(key).cast("long").alias("k"), F.col(text).alias("t"), F.col(lang).alias("l")).withColumn("f", fold("k", folds)).filter(f"l IS NOT NULL AND t IS NOT NULL AND f <> {held_out}")
     sizes = {r[0]: r[1] for r in rows.select("l").groupBy("l").count().collect()}  # one row per language
@@ -176,7 +179,41 @@ def train(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str =
     for name, n in sizes.items():
         cut = F.when(F.col("l") == name, int(min(1.0, MAX_DOCS / n) * 2**30)).otherwise(cut)
     got = rows.filter(F.pmod(F.xxhash64(F.lit(29), "k"), F.lit(2**30)) < cut).select("k", "t", "l").collect()  # about MAX_DOCS per language
-    return fit([(r.t, r.l) for r in sorted(got, key=lambda r: (r.k, r.t))])
+    return [(r.t, r.l) for r in sorted(got, key=lambda r: (r.k, r.t))]
+
+
+def train(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "lang", folds: int = 3, held_out: int = 1) -> dict | None:
+    return fit(sample(docs, key, text, lang, folds, held_out))
+
+
+def _pairs(text: str) -> np.ndarray:
+    """Codes of the neighbouring bytes of a text; none for one shorter than a window."""
+    x = np.frombuffer(text.encode("utf-8", "surrogatepass"), np.uint8).astype(np.int32)
+    return x[:-1] * 256 + x[1:] if len(x) >= WINDOW else x[:0]
+
+
+def known_pairs(rows: list[tuple[str, str]]) -> tuple[np.ndarray, float]:
+    """(which byte pairs occur in the rows' texts, the share of others above which a text is in no learned language).
+
+    The share is twice the highest that a row's text has against all the others, so that texts like them stay, and LEAST_STRANGE at
+    least. Without texts of a window it is 1, which rejects nothing.
+    """
+    codes = [c for c in (_pairs(t) for t, _ in rows) if len(c)]
+    texts = np.zeros(1 << 16, np.int32)
+    for c in codes:
+        texts[np.unique(c)] += 1
+    return texts > 0, max(LEAST_STRANGE, 2 * max(float((texts[c] == 1).mean()) for c in codes)) if codes else 1.0
+
+
+def strangeness(known: np.ndarray, text: str = "text") -> Column:
+    """Share of a text's byte pairs that are not known; 0 for null and for texts shorter than a window, which tell too little."""
+
+    def run(texts: pd.Series) -> pd.Series:
+        codes = (_pairs(t or "") for t in texts)
+        return pd.Series([1 - float(known[c].mean()) if len(c) else 0.0 for c in codes], dtype=float)
+
+    run.__annotations__ = {"texts": pd.Series, "return": pd.Series}
+    return F.pandas_udf(run, "double")(F.col(text))
 
 
 def predictor(model: dict | None, text: str = "text") -> Column:

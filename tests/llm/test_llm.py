@@ -217,3 +217,15 @@ def test_pipeline(spark, tmp_path):
     assert docs.count() >= left[0] >= left[1] >= left[2] == left[3] > 0.7 * docs.count()
     _, label = groups([(r.doc_id, r.text) for r in spark.read.parquet(str(tmp_path / "1")).collect()], 80)
     assert {r.doc_id for r in d.collect()} == {i for i, c in label.items() if i == c}
+
+
+def test_pipeline_language_rejects(spark, docs):
+    import base64
+
+    import corpus_pipeline as cp
+
+    rng = np.random.default_rng(3)
+    junk = [(90001, base64.b64encode(rng.bytes(3000)).decode()), (90002, "\u0412\u0441\u0435 \u043b\u044e\u0434\u0438 " * 40)]
+    df = docs.unionByName(spark.createDataFrame(junk, "doc_id long, text string").withColumn("lang", F.lit(None).cast("string")), allowMissingColumns=True)
+    left = {r.doc_id for r in cp.drop_unknown_language(spark, df, SF).select("doc_id").collect()}
+    assert left == {r.doc_id for r in docs.select("doc_id").collect()}
