@@ -25,12 +25,12 @@ def drop_unknown_language(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group stays; of rows that repeat an id too."""
-    keep = minhash.near_duplicates(docs).filter("kept").select("doc_id").distinct()
-    one = docs.join(keep, "doc_id", "left_semi")
-    if docs.groupBy("doc_id").count().filter("count > 1").limit(1).count():
-        one = one.dropDuplicates(["doc_id"])
-    return _only(one, docs)
+    """One row of each group stays: the smallest id, nulls last. Rows are told apart by a number of their own, as ids may repeat or be null."""
+    rows = written(docs.withColumn("__row", F.monotonically_increasing_id()), "rows")  # written, so that the numbers stay the same
+    found = minhash.near_duplicates(rows, key="__row").select("__row", "component_id")
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "__row"))
+    keep = found.join(rows.select("__row", "doc_id"), "__row").groupBy("component_id").agg(first.alias("first")).select("first.__row")
+    return _only(rows.join(keep, "__row", "left_semi"), docs)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

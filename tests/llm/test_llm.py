@@ -229,3 +229,17 @@ def test_pipeline_language_rejects(spark, docs):
     df = docs.unionByName(spark.createDataFrame(junk, "doc_id long, text string").withColumn("lang", F.lit(None).cast("string")), allowMissingColumns=True)
     left = {r.doc_id for r in cp.drop_unknown_language(spark, df, SF).select("doc_id").collect()}
     assert left == {r.doc_id for r in docs.select("doc_id").collect()}
+
+
+def test_pipeline_duplicates_by_row(spark):
+    import corpus_pipeline as cp
+
+    def text(w):
+        return " ".join(f"{w}{i}" for i in range(60))
+
+    rows = [(None, text("a"), 0), (None, text("b"), 1), (None, text("b"), 2), (7, text("c"), 3), (7, text("d"), 4), (7, text("e"), 5), (3, text("e"), 6), (None, text("e"), 7), (8, text("f"), 8), (8, text("f"), 9), (9, text("c") + " z", 10)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, n int")
+    got = cp.drop_near_duplicates(spark, df, SF)
+    left = sorted(r.n for r in got.collect())
+    assert got.columns == df.columns and len(left) == 6 and {0, 3, 4, 6} < set(left)
+    assert len({1, 2} & set(left)) == len({8, 9} & set(left)) == 1
