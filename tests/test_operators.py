@@ -76,3 +76,27 @@ def test_media(spark):
     docs = spark.createDataFrame([("a",), ("b",), ("c",)], "path string")
     out = {r.path: r.vector for r in media.Codebook(d, 3).encode(d, docs).collect()}
     assert out["c"] == [0, 0, 0] and math.isclose(sum(v * v for v in out["a"]), 1)
+
+
+def test_ranked_spanish_searches_all_rows(spark, tmp_path):
+    from collections import Counter
+
+    query = text_search.analyse_query("cióntes ciado para el adoción")
+    rows = [(i, f"{'adoción ' * (i % 3 + 1)}{'ciado ' * (i % 2)}casa{i} perro " + f"gato{i} " * (i % 5), ["es", "en", "fr", None][i % 4]) for i in range(14)]
+    rows += [(20, "casa perro", "es"), (21, "", "en"), (22, "cióntes", "de")]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string").write.parquet(str(tmp_path / "documents.parquet"))
+    tf = {i: Counter(text_search.analyse_query(t)) for i, t, _ in rows}
+    n, df = len(rows), Counter(w for c in tf.values() for w in c)
+    avgdl = sum(sum(c.values()) for c in tf.values()) / n
+    want = {}
+    for i, c in tf.items():
+        bm25 = sum(math.log(1 + (n - df[w] + 0.5) / (df[w] + 0.5)) * c[w] * 2.2 / (c[w] + 1.2 * (0.25 + 0.75 * sum(c.values()) / avgdl)) for w in set(query) if c[w])
+        weight, asked = {w: (1 + math.log(x)) * math.log(n / df[w]) for w, x in c.items()}, {w: math.log(n / df[w]) * (1 + math.log(query.count(w))) for w in query if df[w]}
+        norm = math.hypot(*weight.values()) * math.hypot(*asked.values())
+        want["bm25", i], want["tf-idf", i] = bm25, sum(weight[w] * x for w, x in asked.items() if w in weight) / norm if norm else 0
+    got = queries.QUERIES["text_ranked_spanish"](spark, str(tmp_path)).collect()
+    for m in ("bm25", "tf-idf"):
+        best = sorted(((-round(s, 9), i) for (x, i), s in want.items() if x == m and s > 0))[:10]
+        top = sorted((r for r in got if r.method == m), key=lambda r: r.rank)
+        assert [(-round(r.score, 9), r.doc) for r in top] == best
+        assert all(r.matched == sorted(set(query) & set(tf[r.doc])) for r in top)
