@@ -19,12 +19,13 @@ def nearest(df: DataFrame, query, k: int, metric: str = "cosine", vec: str = "em
     return df.filter(f"{vec} IS NOT NULL").withColumn("distance", F.expr(V.distance(vec, _array(query), metric))).orderBy("distance", key).limit(k)
 
 
-def nearest_join(df: DataFrame, queries: DataFrame, k: int, metric: str = "cosine", vec: str = "embedding", key: str = "vec_id", digits: int = 9) -> DataFrame:
-    """(query_id, rank, key, distance) for a stated query set against all rows. queries: query_id, q.
+def nearest_join(df: DataFrame, queries: DataFrame, k: int, metric: str = "cosine", vec: str = "embedding", key: str = "vec_id", digits: int = 9, skip_self: bool = False) -> DataFrame:
+    """(query_id, rank, key, distance) for a stated query set against all rows, or all but the query's own. queries: query_id, q.
 
     Spark broadcasts the query side only while it is below its size threshold, else it pairs partitions.
     """
     pairs = df.select(key, vec).filter(f"{vec} IS NOT NULL").crossJoin(queries.select("query_id", "q"))
+    pairs = pairs.filter(F.col(key) != F.col("query_id")) if skip_self else pairs
     d = pairs.select("query_id", key, F.round(F.expr(V.distance(vec, "q", metric)), digits).alias("distance"))
     w = Window.partitionBy("query_id").orderBy("distance", key)
     return d.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
@@ -99,9 +100,9 @@ def items(df: DataFrame, limit: int = 2000, vec: str = "embedding", key: str = "
     return df.filter(f"{vec} IS NOT NULL").orderBy(key).limit(limit)
 
 
-def identify(df: DataFrame, queries: DataFrame, threshold: float = 0.70, vec: str = "embedding", key: str = "vec_id") -> DataFrame:
+def identify(df: DataFrame, queries: DataFrame, threshold: float = 0.70, vec: str = "embedding", key: str = "vec_id", skip_self: bool = False) -> DataFrame:
     """Nearest sample of each query, accepted if its cosine reaches the threshold."""
-    best = nearest_join(df, queries, 1, "cosine", vec, key)
+    best = nearest_join(df, queries, 1, "cosine", vec, key, skip_self=skip_self)
     return best.select("query_id", key, (1 - F.col("distance")).alias("score"), (1 - F.col("distance") >= threshold).alias("accepted"))
 
 

@@ -217,6 +217,16 @@ def _(spark, sf):
     return vector_search.identify(e.filter("vec_id % 50 <> 1"), q).withColumn("score", F.round("score", 6))
 
 
+_COSINE = "round(list_cosine_similarity(list_transform(e.embedding, lambda x: CAST(x AS DOUBLE)), list_transform(q.embedding, lambda x: CAST(x AS DOUBLE))), 9)"
+
+
+@query("vector_identify_all", f"SELECT query_id, vec_id, round(score, 6) AS score, score >= 0.70 AS accepted FROM (SELECT q.vec_id AS query_id, e.vec_id, {_COSINE} AS score, row_number() OVER (PARTITION BY q.vec_id ORDER BY {_COSINE} DESC, e.vec_id) AS r FROM embeddings e, embeddings q WHERE q.vec_id % 50 = 0 AND e.vec_id <> q.vec_id) WHERE r = 1")
+def _(spark, sf):
+    e = table(spark, sf, "embeddings")
+    q = e.filter("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q"))
+    return vector_search.identify(e, q, skip_self=True).withColumn("score", F.round("score", 6))
+
+
 @query("vector_text_codec", "SELECT vec_id, round(list_sum(list_transform(embedding, lambda x: CAST(x AS DOUBLE))), 6) AS total FROM embeddings")
 def _(spark, sf):
     t = table(spark, sf, "embeddings").select("vec_id", F.expr("concat('[', array_join(CAST(embedding AS ARRAY<STRING>), ', '), ']')").alias("s"))

@@ -100,3 +100,11 @@ def test_ranked_spanish_searches_all_rows(spark, tmp_path):
         top = sorted((r for r in got if r.method == m), key=lambda r: r.rank)
         assert [(-round(r.score, 9), r.doc) for r in top] == best
         assert all(r.matched == sorted(set(query) & set(tf[r.doc])) for r in top)
+
+
+def test_identify_all_rows(spark, con, tmp_path):
+    rows = [(0, [1.0, 0.1]), (50, [1.0, 0.11]), (1, [1.0, 0.5]), (51, [-1.0, 0.2]), (100, [-1.0, 0.25])]
+    spark.createDataFrame(rows, "vec_id long, embedding array<float>").write.parquet(str(tmp_path / "embeddings.parquet"))
+    got = queries.QUERIES["vector_identify_all"](spark, str(tmp_path)).collect()
+    assert {(r.query_id, r.vec_id, r.accepted) for r in got} == {(0, 50, True), (50, 0, True), (100, 51, True)}
+    test_against_sql(spark, con, "vector_identify_all")
