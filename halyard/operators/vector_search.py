@@ -70,6 +70,19 @@ class IVF:
         lists = self.lists.filter(F.col("list_id").isin([-1, *self.probes(query, nprobe)]))
         return nearest(lists, query, k, self.metric, self.vec, self.key)
 
+    def search_batch(self, queries: DataFrame, k: int, nprobe: int = 1, digits: int = 9) -> DataFrame:
+        """(query_id, rank, key, distance) of a query set, each query in its nprobe nearest lists. queries: query_id, q."""
+        asked = queries.filter("q IS NOT NULL").select("query_id", "q")
+        cells = asked.sparkSession.createDataFrame(list(enumerate(self.centroids)), "list_id int, c array<double>")  # at most 4096
+        far = F.coalesce(F.expr(V.distance("c", "q", self.metric)), F.lit(1.0)).alias("far")
+        w = Window.partitionBy("query_id").orderBy("far", "list_id")
+        probes = asked.crossJoin(cells).select("query_id", "q", "list_id", far).withColumn("r", F.row_number().over(w)).filter(F.col("r") <= nprobe).select("query_id", "q", "list_id")
+        probes = probes.unionByName(asked.withColumn("list_id", F.lit(-1)))
+        pairs = self.lists.select(self.key, self.vec, "list_id").join(probes, "list_id")
+        d = pairs.select("query_id", self.key, F.round(F.expr(V.distance(self.vec, "q", self.metric)), digits).alias("distance"))
+        best = Window.partitionBy("query_id").orderBy("distance", self.key)
+        return d.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k).select("query_id", "rank", self.key, "distance")
+
 
 def recall(found: DataFrame, exact: DataFrame, on: list[str]) -> DataFrame:
     """Share of the exact rows that were found."""

@@ -210,6 +210,16 @@ def _(spark, sf):
     return ivf.search(q, 10, nprobe=16).select("vec_id", F.round("distance", 6).alias("distance"))
 
 
+@query("vector_ivf_partial_probe")
+def _(spark, sf):
+    """Three quarters of the lists are read; recall is tested against brute force, there is no SQL for it."""
+    e = table(spark, sf, "embeddings")
+    q = e.filter("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q"))
+    ivf = vector_search.IVF(e)
+    out = ivf.search_batch(q, 10, max(1, round(ivf.nlist * 0.75)))
+    return out.select("query_id", F.col("rank").cast("long").alias("rank"), "vec_id", F.round("distance", 6).alias("distance"))
+
+
 @query("vector_identify", "SELECT query_id, vec_id, round(score, 6) AS score, score >= 0.70 AS accepted FROM (SELECT q.vec_id AS query_id, e.vec_id, round(list_cosine_similarity(list_transform(e.embedding, lambda x: CAST(x AS DOUBLE)), list_transform(q.embedding, lambda x: CAST(x AS DOUBLE))), 9) AS score, row_number() OVER (PARTITION BY q.vec_id ORDER BY round(1 - list_cosine_similarity(list_transform(e.embedding, lambda x: CAST(x AS DOUBLE)), list_transform(q.embedding, lambda x: CAST(x AS DOUBLE))), 9), e.vec_id) AS r FROM embeddings e, embeddings q WHERE q.vec_id % 50 = 1 AND e.vec_id % 50 <> 1) WHERE r = 1")
 def _(spark, sf):
     e = table(spark, sf, "embeddings")

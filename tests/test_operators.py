@@ -108,3 +108,13 @@ def test_identify_all_rows(spark, con, tmp_path):
     got = queries.QUERIES["vector_identify_all"](spark, str(tmp_path)).collect()
     assert {(r.query_id, r.vec_id, r.accepted) for r in got} == {(0, 50, True), (50, 0, True), (100, 51, True)}
     test_against_sql(spark, con, "vector_identify_all")
+
+
+def test_ivf_partial_probe_recall(spark):
+    sf = "/root/testdata/sf0.1"
+    e = spark.read.parquet(f"{sf}/embeddings.parquet")
+    q = e.filter("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q"))
+    exact = vector_search.nearest_join(e, q, 10).filter("vec_id <> query_id").collect()
+    found = queries.QUERIES["vector_ivf_partial_probe"](spark, sf).collect()
+    hit = {(r.query_id, r.vec_id) for r in found} & {(r.query_id, r.vec_id) for r in exact}
+    assert {r.query_id for r in found} == {r.query_id for r in q.collect()} and len(hit) >= 0.9 * len(exact)
