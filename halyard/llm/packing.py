@@ -2,7 +2,7 @@
 
 The global histogram of lengths has at most 64 bins per power of two (lengths up to 64 exactly, above that six leading bits,
 rounded up), so it is a few thousand rows whatever the corpus. Dynamic programming over it chooses the bucket boundaries that
-minimise the padded total; then batches of at most `budget` padded tokens form inside each bucket, in key order. A document
+minimise the padded total of the rounded lengths; each bucket's length is then its longest member's. Then batches of at most `budget` padded tokens form inside each bucket, in key order. A document
 longer than the budget is a batch of its own; nothing is cut or dropped.
 
 Ranks inside buckets come from a range partitioning by (bucket, key) and per-partition counts, so a bucket that holds most rows
@@ -72,13 +72,14 @@ def pack(df: DataFrame, key: str = "doc_id", length: Column | None = None, bucke
     spark = df.sparkSession
     rows = df.select(F.col(key).alias("k"), (byte_length() if length is None else length).alias("n"))
     rows = written(rows.withColumn("edge", F.expr(bin_edge("n"))), "lengths")
-    hist = sorted((r.edge, r.c) for r in rows.groupBy("edge").agg(F.count("*").alias("c")).collect())  # bounded by the bins
-    bounds = choose_boundaries([e for e, _ in hist], [c for _, c in hist], buckets) or [1]
-    counts = [0] * len(bounds)
-    for e, c in hist:
-        counts[next(i for i, b in enumerate(bounds) if e <= b)] += c
+    hist = sorted((r.edge, r.c, r.m) for r in rows.groupBy("edge").agg(F.count("*").alias("c"), F.max("n").alias("m")).collect())  # bounded by the bins
+    bounds = choose_boundaries([e for e, _, _ in hist], [c for _, c, _ in hist], buckets) or [1]
+    counts, longest = [0] * len(bounds), [1] * len(bounds)
+    for e, c, m in hist:
+        i = next(i for i, b in enumerate(bounds) if e <= b)
+        counts[i], longest[i] = counts[i] + c, max(longest[i], m)
     plan_rows, start = [], 0
-    for i, (b, c) in enumerate(zip(bounds, counts, strict=True)):
+    for i, (b, c) in enumerate(zip(longest, counts, strict=True)):
         per = max(1, budget // b)
         plan_rows.append((i, b, start, per))
         start += -(-c // per)

@@ -243,3 +243,9 @@ def test_pipeline_duplicates_by_row(spark):
     left = sorted(r.n for r in got.collect())
     assert got.columns == df.columns and len(left) == 6 and {0, 3, 4, 6} < set(left)
     assert len({1, 2} & set(left)) == len({8, 9} & set(left)) == 1
+
+
+def test_packing_true_lengths(spark):
+    df = spark.createDataFrame([(i, "x" * n) for i, n in enumerate([1001, 999, 1001, 5, 70003])], "doc_id long, text string")
+    rows = packing.pack(df, buckets=3).collect()
+    assert {r.bucket_length for r in rows} == {5, 1001, 70003} and all(r.padding == r.bucket_length - r.n_tokens >= 0 for r in rows)
