@@ -6,7 +6,8 @@ backpropagation through time; every byte position gets a label distribution, and
 
 A text is read whole, in windows of WINDOW bytes in which the states start at zero; the last window ends with the text and counts
 only its new positions; shorter texts are padded with spaces that do not count. Training reads at most about
-MAX_DOCS documents per language, chosen by hash, outside the held-out fold. A text that is null or has no letter is `und` with
+MAX_DOCS documents per language, chosen by hash, outside the held-out fold. Of their windows it draws
+TRAIN_WINDOWS per language, with replacement, about 0.4 MB whatever the texts hold. A text that is null or has no letter is `und` with
 score 0; without training rows every text is. Rows are judged alone, so repeated rows, null ids and extra columns are harmless.
 """
 
