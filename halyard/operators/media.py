@@ -1,4 +1,7 @@
-"""Image and audio features: colour histogram, MFCC frames, codebooks and bags of features."""
+"""Image and audio features: colour histogram, MFCC frames, codebooks and bags of features.
+
+Not offered: IMAGE_VECTOR and AUDIO_VECTOR in SQL (V18); CREATE INDEX USING IMAGE or AUDIO (I9, I10) is accepted but builds no codebook.
+"""
 
 import io
 import math
