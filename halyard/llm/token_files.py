@@ -1,287 +1,214 @@
 """Token-id files coded by an adaptive context-mixing range coder (operator 7).
 
-Ids are coded in blocks of at most BLOCK ids, each starting from a reset model and carrying its length and CRC-32, so any block can
-be read alone and a damaged one is noticed. For each id a flag says whether it is the id that last followed these two ids (order 2),
-else the id that last followed this id (order 1), or neither; then its hexadecimal digits follow, each by the mixed counts that its
-digits so far have met in the block (order 0) and after the previous id (order 1). The blocks of a batch are coded in
-lock step, one numpy lane each; the lanes share nothing, so the bytes of a block do not depend on its neighbours.
-
-A file set is a folder of Parquet files, one row per run of whole documents: part and run number, document ids, id counts, and the
-coded blocks. Runs are in ascending key order: rows are range-partitioned and sorted by key (ties by text). Offsets come from sums
-per part and run, so nothing global is gathered in one task. Null and empty texts hold the end id alone; null keys sort first.
+Ids are coded in blocks of at most 4,096, each starting from a reset model and carrying its length, CRC-32 and size, so any block
+can be read alone and a damaged one is noticed. Of each id the coder first says where it comes from: the id that last followed the
+two ids before it (order 2), the id that last followed the one before it (order 1), the ids that the block has had (order 0), or
+none of them. That choice is predicted by the added counts of two contexts: how sure the order-2 and order-1 guesses are, and the
+previous id. An id of order 0 is then coded by its count in the block, a new one plainly. The coder is Java, run as a JVM function.
+
+Tokenizing uses the tokenizers library. Where its pre-tokenizer is the byte-level one, a text falls apart at single spaces
+without changing the ids, so each distinct piece is put to the library once per Python worker and looked up after that; texts with
+any other white space than single spaces between words and line feeds, or with a special token, go to the library whole.
+
+A file set is a folder of Parquet files, one row per run of whole documents: part and run number, document ids, starts and counts
+of ids, and the coded blocks. Runs are in ascending key order: rows are range-partitioned and sorted by key, ties by a hash of the
+text. Offsets come from sums per part and run, so nothing global is gathered in one task.
+
+Null and empty texts hold the end id alone; null keys sort first; rows that repeat a key are documents of their own; a very long text
+is a run of its own of as many blocks as it needs; an empty table makes an empty file set; other columns are not read, so their
+names do not matter.
 """
 
+import json
 import os
-import struct
-import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from halyard.llm.common import read, scratch
+from halyard.llm.common import read, scratch, small_batches
+from halyard.llm.jvm import functions
 
-BLOCK = 4096
-LANES = 512
+#: Ids after which a run of documents ends.
 RUN = 1 << 17
-DIGIT = 4
-_SLOTS = 1 << 12
-_CONTEXTS = 1 << 11
-_HEAD = struct.Struct("<III")
-_MASK, _TOP, _LEAST = (1 << 48) - 1, 1 << 32, 1 << 16
-
-
-class Coder:
-    """Range coding of symbols in many lanes, 16 bits at a time, without carries: a range that straddles two words is cut short."""
-
-    def __init__(self, lanes: int, capacity: int, source: list[bytes] | None = None):
-        self.low, self.range = np.zeros(lanes, np.int64), np.full(lanes, _MASK, np.int64)
-        self.reading = source is not None
-        self.at = np.zeros(lanes, np.int64)
-        if self.reading:
-            self.size = max(map(len, source)) // 2 + 8
-            self.buf = np.frombuffer(b"".join(s.ljust(2 * self.size, b"\0") for s in source), "<u2")
-            head = self.buf.reshape(lanes, self.size)[:, :3].astype(np.int64)
-            self.x = head[:, 0] << 32 | head[:, 1] << 16 | head[:, 2]
-            self.at += 3
-        else:
-            self.size = capacity
-            self.buf = np.zeros(lanes * capacity, "<u2")
-
-    def code(self, lanes: np.ndarray, counts: np.ndarray, symbols: np.ndarray | None) -> np.ndarray:
-        """Code one symbol in each of the lanes, or read it. counts: (lanes, alphabet), of a sum in 1..65535."""
-        upto = np.cumsum(counts, axis=1, dtype=np.int64)
-        total, low = upto[:, -1], self.low[lanes]
-        unit = self.range[lanes] // total
-        if self.reading:
-            x = self.x[lanes]
-            symbols = (upto <= np.minimum((x - low) // unit, total - 1)[:, None]).sum(1)
-        own = np.arange(len(lanes))
-        count = counts[own, symbols].astype(np.int64)
-        low += unit * (upto[own, symbols] - count)
-        size = unit * count
-        move = np.flatnonzero(((low ^ (low + size)) < _TOP) | (size < _LEAST))
-        while len(move):
-            a, b, who = low[move], size[move], lanes[move]
-            b = np.where((a ^ (a + b)) < _TOP, b, -a & (_LEAST - 1))
-            place = who * self.size + np.minimum(self.at[who], self.size - 1)
-            if self.reading:
-                x[move] = (x[move] << 16 & _MASK) | self.buf[place]
-            else:
-                self.buf[place] = a >> 32
-            self.at[who] += 1
-            a, b = a << 16 & _MASK, b << 16
-            low[move], size[move] = a, b
-            move = move[((a ^ (a + b)) < _TOP) | (b < _LEAST)]
-        self.low[lanes], self.range[lanes] = low, size
-        if self.reading:
-            self.x[lanes] = x
-        return symbols
-
-    def finish(self) -> list[bytes]:
-        """Three words of a number inside each lane's range end it."""
-        out, words = [], self.buf.reshape(-1, self.size)
-        for row, at, v in zip(words, self.at, self.low + self.range - 1, strict=True):
-            v = int(v)
-            out.append(row[:at].tobytes() + struct.pack("<HHH", v >> 32, v >> 16 & 0xFFFF, v & 0xFFFF))
-        return out
-
-
-class Counts:
-    """Adaptive symbol counts: one table of contexts for each lane. A row is halved when a count in it passes the limit."""
-
-    def __init__(self, lanes: int, contexts: int, start: list[int], limit: int):
-        self.contexts, self.width, self.limit = contexts, len(start), limit
-        self.rows = np.zeros((lanes * contexts, self.width), np.uint16)
-        if any(start):
-            self.rows[:] = start
-
-    def look(self, lanes: np.ndarray, context: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        at = lanes * self.contexts + context
-        return at, self.rows.take(at, axis=0)
-
-    def learn(self, at: np.ndarray, symbols: np.ndarray, step: int) -> None:
-        flat, cell = self.rows.reshape(-1), at * self.width + symbols
-        count = flat[cell] + np.uint16(step)
-        flat[cell] = count
-        over = at[count > self.limit]
-        if len(over):
-            self.rows[over] >>= 1
-
-
-def run_model(coder: Coder, sizes: np.ndarray, width: int, ids: np.ndarray | None) -> np.ndarray:
-    """Code (ids given) or decode lanes of the given sizes, longest first. ids: (lanes, longest)."""
-    n, digits = len(sizes), -(-width // DIGIT)
-    out = np.zeros((n, int(sizes.max())), np.int64) if ids is None else ids
-    guess = [np.zeros(n * _SLOTS, np.int32) for _ in "21"]  # the id that last followed two ids, one id
-    trust = [np.zeros(n * _SLOTS, np.int8) for _ in "21"]
-    flags, floor = Counts(n, 32, [4, 4, 8, 0], 4096), np.array([1, 1, 1, 0], np.uint16)  # no flag loses its share
-    order0, order1 = (Counts(n, _CONTEXTS, [0] * (1 << DIGIT), 1024) for _ in "01")
-    prev, before = np.zeros(n, np.int64), np.zeros(n, np.int64)
-    for t in range(out.shape[1]):
-        live = np.arange(int(np.searchsorted(-sizes, -t, "left")))  # lanes longer than t
-        a, b = prev[live], before[live]
-        want = None if ids is None else ids[live, t]
-        slot = [live * _SLOTS + (((a * 40503 + b * 30011) >> 3) & (_SLOTS - 1)), live * _SLOTS + ((a * 25717 >> 2) & (_SLOTS - 1))]
-        g2, g1 = (g[s].astype(np.int64) for g, s in zip(guess, slot, strict=True))
-        k2, k1 = (c[s] for c, s in zip(trust, slot, strict=True))
-        at, counts = flags.look(live, k2 * 4 + k1 + 16 * (g2 == g1))
-        flag = coder.code(live, counts + floor, None if want is None else np.where(want == g2, 0, np.where(want == g1, 1, 2)))
-        flags.learn(at, flag, 24)
-        value = np.where(flag == 0, g2, g1)
-        miss = np.flatnonzero(flag == 2)
-        if len(miss):
-            lanes, node, salt = live[miss], np.ones(len(miss), np.int64), a[miss] * 40503
-            w = None if want is None else want[miss]
-            for k in range((digits - 1) * DIGIT, -1, -DIGIT):
-                at0, c0 = order0.look(lanes, (node ^ node >> 11) & (_CONTEXTS - 1))
-                at1, c1 = order1.look(lanes, ((node * 10007 + salt) * 40507 >> 13) & (_CONTEXTS - 1))
-                mixed = c1 << np.uint16(1)  # counts add up, so the surer context weighs more; each symbol keeps a share
-                mixed += c0
-                mixed += np.uint16(1)
-                digit = coder.code(lanes, mixed, None if w is None else w >> k & ((1 << DIGIT) - 1))
-                order0.learn(at0, digit, 24)
-                order1.learn(at1, digit, 24)
-                node = node << DIGIT | digit
-            value[miss] = node - (1 << digits * DIGIT)
-        for g, c, s, old, seen in zip(guess, trust, slot, (g2, g1), (k2, k1), strict=True):
-            same = old == value
-            c[s] = np.where(same, np.minimum(seen + 1, 3), np.where(seen > 1, seen - 1, 0))
-            g[s] = np.where(same | (seen > 1), old, value)
-        if ids is None:
-            out[live, t] = value
-        before[live], prev[live] = a, value
-    return out
-
-
-def encode_blocks(blocks: list[np.ndarray], width: int) -> list[bytes]:
-    """Each block of ids as length, CRC-32, code length and code."""
-    out: list = [None] * len(blocks)
-    order = sorted(range(len(blocks)), key=lambda i: -len(blocks[i]))
-    for at in range(0, len(order), LANES):
-        some = order[at : at + LANES]
-        sizes = np.array([len(blocks[i]) for i in some])
-        ids = np.zeros((len(some), max(1, int(sizes.max()))), np.int64)
-        for r, i in enumerate(some):
-            ids[r, : sizes[r]] = blocks[i]
-        coder = Coder(len(some), 8 + 2 * ids.shape[1] * (2 + width // DIGIT))
-        run_model(coder, sizes, width, ids)
-        for i, code in zip(some, coder.finish(), strict=True):
-            raw = blocks[i].astype("<u4").tobytes()
-            out[i] = _HEAD.pack(len(blocks[i]), zlib.crc32(raw), len(code)) + code
-    return out
-
-
-def decode_blocks(coded: list[bytes], width: int) -> list[np.ndarray]:
-    out: list = [None] * len(coded)
-    heads = [_HEAD.unpack_from(c) for c in coded]
-    order = sorted(range(len(coded)), key=lambda i: -heads[i][0])
-    for at in range(0, len(order), LANES):
-        some = order[at : at + LANES]
-        sizes = np.array([heads[i][0] for i in some])
-        coder = Coder(len(some), 0, [coded[i][_HEAD.size : _HEAD.size + heads[i][2]] for i in some])
-        ids = run_model(coder, sizes, width, None)
-        for r, i in enumerate(some):
-            got = ids[r, : sizes[r]].astype("<u4")
-            if zlib.crc32(got.tobytes()) != heads[i][1]:
-                raise ValueError("damaged block: its checksum does not match")
-            out[i] = got
-    return out
-
-
-_TOKENIZERS: dict = {}
-
-
-def _tokenizer(path: str):
-    if path not in _TOKENIZERS:
+#: Bytes of text that are tokenized at a time; a longer text is taken alone.
+SLICE = 4 << 20
+#: Distinct pieces, and ids in all, that a worker keeps; beyond them it starts anew, which changes no result.
+MAX_PIECES, MAX_IDS = 1_500_000, 12_000_000
+#: White space, as the byte-level pre-tokenizer sees it, other than single spaces inside a text and line feeds.
+_ODD_SPACE = r"  | \n| $|[\t\v\f\r\x{1c}-\x{1f}\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
+
+
+def register(spark: SparkSession) -> None:
+    """SQL functions halyard_encode_tokens(ids, width) and halyard_decode_tokens(blocks, width), from binary to binary."""
+    functions(spark, "token_blocks.java", {"halyard_encode_tokens": "halyard.EncodeTokens", "halyard_decode_tokens": "halyard.DecodeTokens"}, "binary")
+
+
+class Tokens:
+    """Ids of texts by the tokenizers library; what it made of a piece is kept."""
+
+    def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        t = Tokenizer.from_file(path)
-        t.no_truncation()
-        t.no_padding()
-        _TOKENIZERS[path] = t
-    return _TOKENIZERS[path]
+        self.tok = Tokenizer.from_file(path)
+        self.tok.no_truncation()
+        self.tok.no_padding()
+        with open(path, encoding="utf-8") as f:
+            spec = json.load(f)
+        pre, special = spec.get("pre_tokenizer") or {}, [t["content"] for t in spec["added_tokens"]]
+        self.splits = not spec.get("normalizer") and pre.get("type") == "ByteLevel" and not pre.get("add_prefix_space") and pre.get("use_regex", True)
+        self.odd = "|".join([_ODD_SPACE, *("".join(f"\\x{{{ord(c):x}}}" for c in s) for s in special)])
+        visible = [*range(33, 127), *range(161, 173), *range(174, 256)]
+        hidden = [b for b in range(256) if b not in visible]
+        self.alphabet = {b: chr(b) for b in visible} | {b: chr(256 + i) for i, b in enumerate(hidden)}  # the byte-level alphabet
+        self.clear()
+
+    def clear(self) -> None:
+        self.inner: dict[str, int] = {}  # number of the piece with a space before it
+        self.first: dict[str, int] = {}  # number of the piece that starts a text
+        self.ids, self.ends = array("i"), array("q", [0])
+        self.words: dict[str, list[int]] = {}
+
+    def _keep(self, ids: list[int]) -> int:
+        self.ids.extend(ids)
+        self.ends.append(len(self.ids))
+        return len(self.ends) - 2
+
+    def _piece(self, piece: str) -> int:
+        """A new piece: its pre-tokens are the library's; letters alone are one."""
+        bare = piece[1:] if piece[:1] == " " else piece
+        if bare.isalpha() and max(bare) < "ɐ":
+            words = [piece.encode().decode("latin-1").translate(self.alphabet)]
+        else:
+            words = [w for w, _ in self.tok.pre_tokenizer.pre_tokenize_str(piece)]
+        ids: list[int] = []
+        for w in words:
+            got = self.words.get(w)
+            if got is None:
+                got = self.words[w] = [t.id for t in self.tok.model.tokenize(w)]
+            ids += got
+        return self._keep(ids)
+
+    def _numbers(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """(number of every piece, first piece of every text)."""
+        odd = pc.match_substring_regex(texts, self.odd).to_numpy(zero_copy_only=False) if self.splits else np.ones(len(texts), bool)
+        whole = np.flatnonzero(odd)
+        some = [texts[int(i)].as_py() for i in whole]
+        split = pc.split_pattern(pc.if_else(pa.array(odd), "", texts), " ")
+        at = split.offsets.to_numpy()[:-1].astype(np.int64) - split.offsets[0].as_py()
+        coded = split.flatten().dictionary_encode()
+        index, pieces = coded.indices.to_numpy(), coded.dictionary.to_numpy(zero_copy_only=False).tolist()
+        inside = np.ones(len(index), bool)
+        inside[at] = False
+        used = np.unique(index[inside])
+        table = np.zeros(len(pieces), np.int64)
+        known = self.inner
+        for i in used.tolist():
+            w = pieces[i]
+            n = known.get(w)
+            if n is None:
+                n = known[w] = self._piece(" " + w)
+            table[i] = n
+        numbers = table[index]
+        for i, j in zip(at.tolist(), index[at].tolist(), strict=True):
+            w = pieces[j]
+            n = self.first.get(w)
+            if n is None:
+                n = self.first[w] = self._piece(w) if w else self._keep([])
+            numbers[i] = n
+        for i, e in zip(whole.tolist(), self.tok.encode_batch_fast(some, add_special_tokens=False) if some else [], strict=True):
+            numbers[at[i]] = self._keep(e.ids)
+        return numbers, at
+
+    def encode(self, texts: pa.Array, end_id: int) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of all texts, each followed by the end id; number of ids of each text)."""
+        if len(self.ends) > MAX_PIECES or len(self.ids) > MAX_IDS:
+            self.clear()
+        numbers, at = self._numbers(texts)
+        ends = np.array(self.ends)
+        start, size = ends[numbers], ends[numbers + 1] - ends[numbers]
+        counts = np.add.reduceat(size, at)
+        total = int(counts.sum())
+        out = np.full(total + len(at), end_id, np.int32)
+        place = np.arange(total)
+        source = place + np.repeat(start - (np.cumsum(size) - size), size)
+        out[place + np.repeat(np.arange(len(at)), counts)] = np.frombuffer(self.ids, np.int32)[source] if total else 0
+        return out, counts + 1
+
+
+_TOKENS: dict[str, Tokens] = {}
+
+
+def tokens(path: str) -> Tokens:
+    """One per Python worker. The file is installed on every node; only its path travels."""
+    if path not in _TOKENS:
+        _TOKENS[path] = Tokens(path)
+    return _TOKENS[path]
+
+
+def _slices(texts: pa.Array) -> Iterator[tuple[int, int]]:
+    """Bounds of runs of texts of about SLICE bytes."""
+    upto = np.cumsum(pc.binary_length(texts).to_numpy(zero_copy_only=False))
+    first = 0
+    while first < len(texts):
+        last = max(first + 1, int(np.searchsorted(upto, (upto[first - 1] if first else 0) + SLICE, "right")))
+        yield first, last
+        first = last
+
+
+_RUNS = pa.schema([("part", pa.int32()), ("run", pa.int32()), ("keys", pa.list_(pa.int64())), ("starts", pa.list_(pa.int64())), ("counts", pa.list_(pa.int64())), ("ids", pa.binary()), ("width", pa.int32())])
 
 
 def write_files(df: DataFrame, folder: str, tokenizer: str, end_id: int, key: str = "doc_id", text: str = "text") -> None:
     """Coded ids of every row's text and an end id, in ascending key order, as a file set under `folder`."""
+    spark = df.sparkSession
+    register(spark)
+    small_batches(spark)
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        tok, number = _tokenizer(tokenizer), 0
-        width = max(1, (max(tok.get_vocab_size() - 1, end_id)).bit_length())
-        pending: list = []  # runs of (part, key, ids), coded some at a time so that the lanes fill
-
-        def flush():
-            nonlocal pending, number
-            pieces, rows, run_of, size = [], [], [], 0
-            runs = []
-            for x in pending:
-                run_of.append(x)
-                size += len(x[2])
-                if size >= RUN:
-                    runs.append(run_of)
-                    run_of, size = [], 0
-            if run_of:
-                runs.append(run_of)
-            for r in runs:
-                ids = np.concatenate([x[2] for x in r])
-                pieces.append([ids[i : i + BLOCK] for i in range(0, len(ids), BLOCK)])
-            coded = iter(encode_blocks([b for p in pieces for b in p], width))
-            for r, p in zip(runs, pieces, strict=True):
-                rows.append((r[0][0], number, [x[1] for x in r], [len(x[2]) for x in r], [next(coded) for _ in p], width))
-                number += 1
-            pending = []
-            return pd.DataFrame(rows, columns=["part", "run", "keys", "counts", "blocks", "width"])
-
-        held = 0
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tok, number = tokens(tokenizer), 0
+        width = max(1, max(tok.tok.get_vocab_size() - 1, end_id).bit_length())
         for b in batches:
-            texts, parts, keys = [t or "" for t in b["text"]], b["part"].tolist(), b["k"].tolist()
-            for at in range(0, len(texts), 64):
-                for part, k, e in zip(parts[at : at + 64], keys[at : at + 64], tok.encode_batch_fast(texts[at : at + 64], add_special_tokens=False), strict=True):
-                    ids = np.array([*e.ids, end_id], np.int64)
-                    pending.append((part, None if k is None or k != k else int(k), ids))
-                    held += len(ids)
-                if held >= BLOCK * LANES:
-                    yield flush()
-                    held = 0
-        if pending:
-            yield flush()
-
-    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    rows = df.select(F.col(key).cast("long").alias("k"), F.col(text).alias("text"))
-    rows = rows.repartitionByRange(n, F.col("k").asc_nulls_first(), F.xxhash64("text")).sortWithinPartitions(F.col("k").asc_nulls_first(), F.xxhash64("text"))
-    coded = rows.withColumn("part", F.spark_partition_id()).mapInPandas(run, "part int, run int, keys array<long>, counts array<long>, blocks array<binary>, width int")
+            texts = pc.fill_null(b["text"], "")
+            for first, last in _slices(texts):
+                ids, counts = tok.encode(texts.slice(first, last - first), end_id)
+                ends = np.cumsum(counts)
+                cut = [0, *(np.flatnonzero(np.diff((ends - counts) // RUN)) + 1).tolist(), len(counts)]
+                keys, rows = b["k"].slice(first, last - first), []
+                for x, y in zip(cut[:-1], cut[1:], strict=True):
+                    base = int(ends[x] - counts[x])
+                    rows.append((number, keys[x:y].to_pylist(), ends[x:y] - counts[x:y] - base, counts[x:y], ids[base : ends[y - 1]].tobytes()))
+                    number += 1
+                n = len(rows)
+                columns = [pa.array([b["part"][0].as_py()] * n, pa.int32()), *(pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), list(_RUNS)[1:6], strict=True)), pa.array([width] * n, pa.int32())]
+                yield pa.RecordBatch.from_arrays(columns, schema=_RUNS)
+
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    order = [F.col("k").asc_nulls_first(), F.xxhash64("text")]
+    rows = df.select(F.col(key).cast("long").alias("k"), F.col(text).cast("string").alias("text")).repartitionByRange(n, *order).sortWithinPartitions(*order)
+    runs = rows.withColumn("part", F.spark_partition_id()).mapInArrow(run, "part int, run int, keys array<long>, starts array<long>, counts array<long>, ids binary, width int")
+    coded = runs.select("part", "run", "keys", "starts", "counts", F.expr("halyard_encode_tokens(ids, width)").alias("blocks"), "width")
     coded.write.mode("overwrite").option("compression", "uncompressed").parquet(folder)
 
 
 def read_files(spark: SparkSession, folder: str, key: str = "doc_id", with_ids: bool = False) -> DataFrame:
-    """key, start, n_tokens, ids_crc32 (and the ids) of every document of a file set, decoded from its blocks."""
+    """key, start, n_tokens, ids_crc32 (and the ids, as bytes) of every document of a file set, decoded from its blocks."""
+    register(spark)
     files = spark.read.parquet(folder)
     size = files.select("part", "run", F.expr("aggregate(counts, 0L, (s, x) -> s + x)").alias("n"))
     part = size.groupBy("part").agg(F.sum("n").alias("n")).withColumn("base", F.expr("sum(n) OVER (ORDER BY part) - n")).select("part", "base")  # one row per part file
     inside = size.withColumn("skip", F.expr("sum(n) OVER (PARTITION BY part ORDER BY run) - n")).drop("n")
     offsets = inside.join(part, "part").select("part", "run", (F.col("base") + F.col("skip")).alias("first"))
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            coded = [bytes(x) for r in b["blocks"] for x in r]
-            ids = decode_blocks(coded, int(b["width"].iloc[0])) if coded else []
-            at, out = 0, []
-            for p, r, keys, counts, blocks in zip(b["part"], b["run"], b["keys"], b["counts"], b["blocks"], strict=True):
-                stream = np.concatenate(ids[at : at + len(blocks)])
-                at += len(blocks)
-                ends = np.cumsum(counts)
-                for k, n, e in zip(keys, counts, ends, strict=True):
-                    own = stream[e - n : e].tobytes()
-                    out.append((p, r, None if k is None or k != k else int(k), int(e - n), int(n), zlib.crc32(own), own if with_ids else None))
-            x = pd.DataFrame(out, columns=["part", "run", "k", "skip", "n_tokens", "ids_crc32", "ids"])
-            yield x.astype({"k": "Int64"})
-
-    docs = files.mapInPandas(run, "part int, run int, k long, skip long, n_tokens long, ids_crc32 long, ids binary")
-    out = docs.join(offsets, ["part", "run"]).select(F.col("k").alias(key), (F.col("first") + F.col("skip")).alias("start"), "n_tokens", "ids_crc32", "ids")
+    own = "substring(b, CAST(4 * x.starts + 1 AS INT), CAST(4 * x.counts AS INT))"
+    each = f"named_struct('k', x.keys, 'skip', x.starts, 'n', x.counts, 'crc', crc32({own}), 'ids', {own if with_ids else 'CAST(NULL AS BINARY)'})"
+    # the outer transform binds the decoded run once
+    docs = files.select("part", "run", F.expr(f"explode(flatten(transform(array(halyard_decode_tokens(blocks, width)), b -> transform(arrays_zip(keys, starts, counts), x -> {each})))) AS d"))
+    out = docs.join(offsets, ["part", "run"]).select(F.col("d.k").alias(key), (F.col("first") + F.col("d.skip")).alias("start"), F.col("d.n").alias("n_tokens"), F.col("d.crc").alias("ids_crc32"), F.col("d.ids").alias("ids"))
     return out if with_ids else out.drop("ids")
 
 

@@ -150,7 +150,9 @@ def test_token_files(spark, docs, odd, none, tmp_path):
 
     path = public_tokenizers.path("byte_bpe_50k.json")
     t, at, want = Tokenizer.from_file(path), 0, []
-    df = docs.select("doc_id", "text").limit(60).unionByName(odd.select("doc_id", "text"))
+    tricky = ["  two  spaces ", " lead", "end ", "a \nb", "a\n b", "a\n \n b\n\n\nc", "tab\t x", "nb\u00a0sp\u2003x", "\x1c \x1f", "don't I'LL we've", "\u01c5\u02b0\u0345\u0660\u4e2d\u6587 \U0001f600\u200d", "\n", " ", "x" * 3000 + " " + "y1" * 2000]
+    more = spark.createDataFrame([(10**6 + i, t) for i, t in enumerate(tricky)], "doc_id long, text string")
+    df = docs.select("doc_id", "text").unionByName(odd.select("doc_id", "text")).unionByName(more)
     for r in sorted(df.collect(), key=lambda r: (r.doc_id is not None, r.doc_id)):
         ids = [*t.encode(r.text or "", add_special_tokens=False).ids, 2]
         want.append((r.doc_id, len(ids), zlib.crc32(struct.pack(f"<{len(ids)}I", *ids))))
@@ -160,9 +162,14 @@ def test_token_files(spark, docs, odd, none, tmp_path):
         assert r.start == at
         at += r.n_tokens
     assert sorted((r.doc_id or -1, r.n_tokens, r.ids_crc32) for r in got) == sorted((a or -1, b, c) for a, b, c in want)
-    coded = token_files.encode_blocks([np.arange(500) % 7], 16)
-    with pytest.raises(ValueError, match="checksum"):
-        token_files.decode_blocks([coded[0][:20] + bytes([coded[0][20] ^ 255]) + coded[0][21:]], 16)
+    raw = (np.arange(9000) % 7 * 11).astype("<u4").tobytes()
+    blocks = spark.createDataFrame([(raw,)], "r binary").selectExpr("halyard_encode_tokens(r, 16) AS b")
+    assert blocks.selectExpr("halyard_decode_tokens(b, 16)").first()[0] == raw
+    coded = bytes(blocks.first()[0])
+    assert len(coded) < len(raw) / 20
+    bad = spark.createDataFrame([(coded[:20] + bytes([coded[20] ^ 255]) + coded[21:],)], "b binary")
+    with pytest.raises(Exception, match="damaged block"):
+        bad.selectExpr("halyard_decode_tokens(b, 16)").collect()
     token_files.write_files(none, str(tmp_path / "n"), path, 2)
     assert token_files.read_files(spark, str(tmp_path / "n")).count() == 0
 
