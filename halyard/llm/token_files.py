@@ -21,8 +21,9 @@ names do not matter.
 
 import json
 import os
+import re
 from array import array
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -38,9 +39,13 @@ RUN = 1 << 17
 #: Bytes of text that are tokenized at a time; a longer text is taken alone.
 SLICE = 4 << 20
 #: Distinct pieces, and ids in all, that a worker keeps; beyond them it starts anew, which changes no result.
-MAX_PIECES, MAX_IDS = 1_500_000, 12_000_000
+MAX_PIECES, MAX_IDS = 1_000_000, 12_000_000
 #: White space, as the byte-level pre-tokenizer sees it, other than single spaces inside a text and line feeds.
 _ODD_SPACE = r"  | \n| $|[\t\v\f\r\x{1c}-\x{1f}\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
+#: The byte-level pre-tokenizer's published pattern, for texts of ASCII and Latin letters; others go through the library's own.
+_LATIN = "A-Za-zÀ-ÖØ-öø-ɏ"
+_PLAIN = re.compile(f"[ \\n!-~{_LATIN}]*")
+_WORD = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d| ?[{_LATIN}]+| ?[0-9]+| ?[^\\s0-9{_LATIN}]+|\\s+(?!\\S)|\\s+")
 
 
 def register(spark: SparkSession) -> None:
@@ -69,29 +74,38 @@ class Tokens:
         self.clear()
 
     def clear(self) -> None:
-        self.inner: dict[str, int] = {}  # number of the piece with a space before it
-        self.first: dict[str, int] = {}  # number of the piece that starts a text
+        self.inner: dict[str, int] = {}  # number of a piece or word that follows a space
+        self.outer: dict[str, int] = {}  # number of any other one
         self.ids, self.ends = array("i"), array("q", [0])
-        self.words: dict[str, list[int]] = {}
 
-    def _keep(self, ids: list[int]) -> int:
+    def _keep(self, ids: Iterable[int]) -> int:
         self.ids.extend(ids)
         self.ends.append(len(self.ids))
         return len(self.ends) - 2
 
+    def _word(self, word: str) -> int:
+        """Number of a pre-token."""
+        kept, name = (self.inner, word[1:]) if word[0] == " " else (self.outer, word)
+        n = kept.get(name)
+        if n is None:
+            if word.isascii():
+                spelt = ("Ġ" + name if kept is self.inner else name).replace("\n", "Ċ")
+            else:
+                spelt = word.encode("utf-8", "surrogatepass").decode("latin-1").translate(self.alphabet)
+            n = kept[name] = self._keep([t.id for t in self.tok.model.tokenize(spelt)])
+        return n
+
     def _piece(self, piece: str) -> int:
-        """A new piece: its pre-tokens are the library's; letters alone are one."""
-        bare = piece[1:] if piece[:1] == " " else piece
-        if bare.isalpha() and max(bare) < "ɐ":
-            words = [piece.encode().decode("latin-1").translate(self.alphabet)]
-        else:
-            words = [w for w, _ in self.tok.pre_tokenizer.pre_tokenize_str(piece)]
-        ids: list[int] = []
+        """Number of a new piece: the ids of its pre-tokens."""
+        if not _PLAIN.fullmatch(piece):
+            return self._keep(self.tok.encode(piece, add_special_tokens=False).ids)
+        words = _WORD.findall(piece)
+        if len(words) == 1:
+            return self._word(words[0])
+        ids = array("i")
         for w in words:
-            got = self.words.get(w)
-            if got is None:
-                got = self.words[w] = [t.id for t in self.tok.model.tokenize(w)]
-            ids += got
+            n = self._word(w)
+            ids += self.ids[self.ends[n] : self.ends[n + 1]]
         return self._keep(ids)
 
     def _numbers(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -103,23 +117,25 @@ class Tokens:
         at = split.offsets.to_numpy()[:-1].astype(np.int64) - split.offsets[0].as_py()
         coded = split.flatten().dictionary_encode()
         index, pieces = coded.indices.to_numpy(), coded.dictionary.to_numpy(zero_copy_only=False).tolist()
+        used = np.zeros(len(pieces), bool)
         inside = np.ones(len(index), bool)
         inside[at] = False
-        used = np.unique(index[inside])
-        table = np.zeros(len(pieces), np.int64)
-        known = self.inner
-        for i in used.tolist():
+        used[index[inside]] = True
+        table, known = np.zeros(len(pieces), np.int64), self.inner
+        for i in np.flatnonzero(used).tolist():
             w = pieces[i]
             n = known.get(w)
             if n is None:
-                n = known[w] = self._piece(" " + w)
+                n = self._piece(" " + w)
+                if "\n" not in w:  # line ends join words that seldom meet again
+                    known[w] = n
             table[i] = n
         numbers = table[index]
         for i, j in zip(at.tolist(), index[at].tolist(), strict=True):
             w = pieces[j]
-            n = self.first.get(w)
+            n = self.outer.get(w)
             if n is None:
-                n = self.first[w] = self._piece(w) if w else self._keep([])
+                n = self.outer[w] = self._piece(w) if w else self._keep([])
             numbers[i] = n
         for i, e in zip(whole.tolist(), self.tok.encode_batch_fast(some, add_special_tokens=False) if some else [], strict=True):
             numbers[at[i]] = self._keep(e.ids)
@@ -127,7 +143,7 @@ class Tokens:
 
     def encode(self, texts: pa.Array, end_id: int) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all texts, each followed by the end id; number of ids of each text)."""
-        if len(self.ends) > MAX_PIECES or len(self.ids) > MAX_IDS:
+        if len(self.inner) + len(self.outer) > MAX_PIECES or len(self.ids) > MAX_IDS:
             self.clear()
         numbers, at = self._numbers(texts)
         ends = np.array(self.ends)
