@@ -16,6 +16,7 @@ QUERIES = {
 }
 
 ORACLE = {
+    "op2_packing": packing.oracle(),
     "op4_topk": topk.ORACLE,
     "op10_url_filter": url_filter.ORACLE,
 }
