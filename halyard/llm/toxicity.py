@@ -2,14 +2,21 @@
 
 Texts are folded first: compatibility forms and accents are removed, look-alike letters of other scripts, digits and symbols
 become the Latin letters they stand for (i, l, 1 and | are one letter), everything else separates words. The lexicon holds whole
-words and word beginnings, learned from labelled rows by how much more often toxic texts hold them; matches inside an exception
-phrase do not count. Weights are summed, normalised by the length in words, and a small logistic model makes the score.
-
-Learning reads at most about 2 * MAX_CLASS labelled rows (chosen by hash, MAX_CLASS per class), and only rows outside the
-held-out fold. Without rows of both classes the fixed lexicon below is used. Null and empty texts score the model's value for
-no match. Each row is scored alone, so repeated rows, null ids and extra columns are harmless.
+words and word beginnings that toxic texts hold more often than chance allows: a binomial tail probability, times the number of
+patterns tried, below ALPHA (so less than one pattern is expected by chance), where copies of a text (two shared hashes among the SKETCH smallest of their three-word shingles)
+count once. Matches inside an exception phrase do not count; phrases are fixed ones and those learned from clean texts. Weights are summed,
+normalised by the length in words, and a small logistic model makes the score. It is fitted by cross-fitting: each fold of the
+training rows is matched against a lexicon learned without it, so noise in the lexicon is seen as noise.
+
+Learning reads at most about MAX_CLASS labelled rows and MAX_BYTES bytes of text a class, chosen by hash, and only rows outside the
+held-out fold; an id with differing labels counts as toxic. Without rows of both classes the fixed lexicon below is used.
+
+Null and empty texts score the model's value for no match. Each row is scored alone and as a whole, however long its text, so
+repeated rows, ties and null ids (never held out) are harmless; other columns are not read, so their names do not matter. An
+empty table gives no rows.
 """
 
+import itertools
 import math
 import re
 import unicodedata
@@ -18,19 +25,29 @@ from collections import Counter, defaultdict
 import ahocorasick
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from halyard.llm import shingles
 from halyard.llm.common import fold, read, small_batches, tidy
 
 MAX_CLASS = 4000
-#: A pattern needs so many toxic texts, and that share of them.
+MAX_BYTES = 12 << 20
+#: A pattern needs so many toxic texts, copies counted once, and that share of them.
 MIN_DOCS, MIN_SHARE = 3, 0.01
 MIN_STEM, MAX_STEM, MIN_FORMS = 4, 7, 3
 MIN_LOG_ODDS = 3.0
+ALPHA = 1.0
+#: A phrase of two words is an exception if so many clean texts and no toxic text hold it.
+MIN_EXCEPTION = 3
+SKETCH, FOLDS = 3, 5
 
 #: What stands for which letter, a starting lexicon, and phrases in which its words are harmless.
-LOOKALIKES = dict(zip("0134578@$!|аеорсухіїјѕԁһԛԝвкмнтαβεικνορτυχωɑɡı", "oieasTbasiiaeopcyxiijsdhqwbkmhtabeiknoptuxwagi".replace("T", "t"), strict=True)) | {"l": "i"}
+LOOKALIKES = {
+    "0": "o", "1": "i", "3": "e", "4": "a", "5": "s", "7": "t", "8": "b", "@": "a", "$": "s", "!": "i", "|": "i", "l": "i",
+    "а": "a", "е": "e", "о": "o", "р": "p", "с": "c", "у": "y", "х": "x", "і": "i", "ї": "i", "ј": "j", "ѕ": "s", "ԁ": "d", "һ": "h", "ԛ": "q", "ԝ": "w", "в": "b", "к": "k", "м": "m", "н": "h", "т": "t",
+    "α": "a", "β": "b", "ε": "e", "ι": "i", "κ": "k", "ν": "n", "ο": "o", "ρ": "r", "τ": "t", "υ": "u", "χ": "x", "ω": "w", "ɑ": "a", "ɡ": "g", "ı": "i",
+}
 WORDS = "idiot moron clown loser scum trash stupid pathetic worthless disgusting".split()
 EXCEPTIONS = ["trash can", "trash bin", "clown fish", "class clown", "sore loser", "worthless check", "idiot proof"]
 
@@ -57,43 +74,78 @@ def folded(text: str | None) -> str:
     return f" {t.translate(_TABLE)} "
 
 
-def learn(rows: list[tuple[str, int]]) -> dict:
-    """The lexicon {pattern: weight} and logistic coefficients from (text, toxic) rows."""
-    n = Counter(y for _, y in rows)
-    if not (n[0] and n[1]):
-        return {"lexicon": {f" {folded(w).strip()} ": 1.0 for w in WORDS}, "model": [-4.0, 8.0, 0.5, 0.5], "toxic": n[1], "clean": n[0]}
-    words, stems = {0: Counter(), 1: Counter()}, {0: Counter(), 1: Counter()}
+def groups(texts: list[str]) -> list[int]:
+    """A number for each text, the same for copies and near copies: those that share two of their smallest shingle hashes."""
+    root = list(range(len(texts)))
+
+    def find(i: int) -> int:
+        while root[i] != i:
+            root[i] = i = root[root[i]]
+        return i
+
+    seen: dict[tuple, int] = {}
+    for first, docs in shingles.chunks(texts):
+        sets, n = shingles.shingle_sets(docs, 3)
+        for i, (end, size) in enumerate(zip(np.cumsum(n), n, strict=True), first):
+            least = sets[end - size : end - size + min(size, SKETCH)].tolist()
+            for h in itertools.combinations(least, 2) if size > 1 else [tuple(least)] if size else []:
+                root[find(i)] = find(seen.setdefault(h, i))
+    return [find(i) for i in range(len(texts))]
+
+
+def _tail(k: int, n: int, p: float) -> float:
+    """Probability of k or more hits in n trials of chance p."""
+    logs = (math.lgamma(n + 1) - math.lgamma(x + 1) - math.lgamma(n - x + 1) + x * math.log(p) + (n - x) * math.log1p(-p) for x in range(k, n + 1))
+    return sum(map(math.exp, logs))
+
+
+def _lexicon(rows: list[tuple[list[str], int, int]]) -> tuple[dict[str, float], list[str]]:
+    """({pattern: weight}, exception phrases) from (folded words, toxic, group) rows; a group counts once in each class."""
+    words: dict[str, tuple[set, set]] = defaultdict(lambda: (set(), set()))
+    stems: dict[str, tuple[set, set]] = defaultdict(lambda: (set(), set()))
     forms: dict[str, set] = defaultdict(set)
-    for text, y in rows:
-        ws = set(folded(text).split())
-        words[y].update(ws)
-        st = {w[:k] for w in ws for k in range(MIN_STEM, MAX_STEM + 1) if len(w) > k}
-        stems[y].update(st)
-        if y:
-            for w in ws:
-                for k in range(MIN_STEM, min(MAX_STEM, len(w) - 1) + 1):
+    n = [len({g for _, y, g in rows if y == k}) for k in (0, 1)]
+    for ws, y, g in rows:
+        for w in set(ws):
+            words[w][y].add(g)
+            for k in range(MIN_STEM, min(MAX_STEM, len(w) - 1) + 1):
+                stems[w[:k]][y].add(g)
+                if y:
                     forms[w[:k]].add(w)
+    chance = n[1] / (n[0] + n[1])
+    tried = sum(len(a) + len(b) >= MIN_DOCS for c in (words, stems) for a, b in c.values())
 
-    def odds(c: dict, x: str) -> float:
-        return math.log((c[1][x] + 0.1) / (n[1] + 0.2)) - math.log((c[0][x] + 0.1) / (n[0] + 0.2))
+    def odds(c: tuple[set, set]) -> float:
+        return math.log((len(c[1]) + 0.1) / (n[1] + 0.2)) - math.log((len(c[0]) + 0.1) / (n[0] + 0.2))
 
-    def strong(c: dict, x: str) -> bool:
-        return c[1][x] >= max(MIN_DOCS, MIN_SHARE * n[1]) and odds(c, x) >= MIN_LOG_ODDS and c[1][x] >= 20 * c[0][x] * n[1] / n[0]
+    def strong(c: tuple[set, set]) -> bool:
+        a, b = len(c[0]), len(c[1])
+        return b >= max(MIN_DOCS, MIN_SHARE * n[1]) and odds(c) >= MIN_LOG_ODDS and b * n[0] >= 20 * a * n[1] and _tail(b, a + b, chance) * tried < ALPHA
 
     lexicon: dict[str, float] = {}
-    for s in sorted((s for s in stems[1] if len(forms[s]) >= MIN_FORMS and strong(stems, s)), key=lambda s: (len(s), s)):
+    for s in sorted((s for s, c in stems.items() if len(forms[s]) >= MIN_FORMS and strong(c)), key=lambda s: (len(s), s)):
         if not any(f" {s[:k]}" in lexicon for k in range(MIN_STEM, len(s))):
-            lexicon[f" {s}"] = odds(stems, s)
-    for w in words[1]:
-        if strong(words, w) and not any(f" {w[:k]}" in lexicon for k in range(MIN_STEM, len(w) + 1)):
-            lexicon[f" {w} "] = odds(words, w)
+            lexicon[f" {s}"] = odds(stems[s])
+    for w, c in sorted(words.items()):
+        if strong(c) and not any(f" {w[:k]}" in lexicon for k in range(MIN_STEM, len(w) + 1)):
+            lexicon[f" {w} "] = odds(c)
     lexicon |= {p: MIN_LOG_ODDS for w in WORDS if (p := f" {folded(w).strip()} ") not in lexicon and not any(p.startswith(q) for q in lexicon)}
-    out = {"lexicon": lexicon, "model": None, "toxic": n[1], "clean": n[0]}
-    match = Matcher(out)
-    x = np.array([match.features(t) for t, _ in rows])
-    y = np.array([v for _, v in rows], float)
-    w, weight = np.zeros(x.shape[1]), np.where(y == 1, len(y) / (2 * n[1]), len(y) / (2 * n[0]))
-    for _ in range(60):  # Newton steps of a ridge-regularised logistic regression
+
+    beginnings = {p.strip() for p in lexicon}
+    phrases: dict[str, tuple[set, set]] = defaultdict(lambda: (set(), set()))
+    for ws, y, g in rows:
+        for i, w in enumerate(ws):
+            if any(w[:k] in beginnings for k in range(1, len(w) + 1)):
+                for j in (i - 1, i):
+                    if 0 <= j < len(ws) - 1:
+                        phrases[f"{ws[j]} {ws[j + 1]}"][y].add(g)
+    return lexicon, sorted(x for x, c in phrases.items() if len(c[0]) >= MIN_EXCEPTION and not c[1])
+
+
+def _logistic(x: np.ndarray, y: np.ndarray) -> list[float]:
+    """Newton steps of a ridge-regularised logistic regression in which both classes weigh the same."""
+    w, weight = np.zeros(x.shape[1]), np.where(y == 1, len(y) / (2 * y.sum()), len(y) / (2 * (1 - y).sum()))
+    for _ in range(60):
         p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
         g = x.T @ (weight * (p - y)) + 0.05 * w
         h = (x * (weight * p * (1 - p))[:, None]).T @ x + 0.05 * np.eye(len(w))
@@ -101,7 +153,32 @@ def learn(rows: list[tuple[str, int]]) -> dict:
         w -= step
         if np.abs(step).max() < 1e-8:
             break
-    return out | {"model": w.tolist()}
+    return w.tolist()
+
+
+def learn(rows: list[tuple[str, int]]) -> dict:
+    """The lexicon {pattern: weight}, exception phrases and logistic coefficients from (text, toxic) rows."""
+    n = Counter(y for _, y in rows)
+    out = {"toxic": n[1], "clean": n[0], "lexicon": {f" {folded(w).strip()} ": 1.0 for w in WORDS}, "exceptions": [], "model": [-4.0, 8.0, 0.5, 0.5]}
+    if not (n[0] and n[1]):
+        return out
+    own = [(folded(t).split(), y, g) for (t, y), g in zip(rows, groups([t for t, _ in rows]), strict=True)]
+    toxic_groups = {g for _, y, g in own if y}
+    place = {g: i % FOLDS for some in (toxic_groups, {g for _, _, g in own} - toxic_groups) for i, g in enumerate(sorted(some))}
+    fold_of = [place[g] for _, _, g in own]
+    x = np.empty((len(rows), 4))
+    for k in range(FOLDS):  # copies are in one fold
+        rest = [r for r, f in zip(own, fold_of, strict=True) if f != k]
+        if len({y for _, y, _ in rest}) == 2:
+            lexicon, exceptions = _lexicon(rest)
+            match = Matcher(out | {"lexicon": lexicon, "exceptions": exceptions})
+        else:
+            match = Matcher(out)
+        for i, f in enumerate(fold_of):
+            if f == k:
+                x[i] = match.features(rows[i][0])
+    lexicon, exceptions = _lexicon(own)
+    return out | {"lexicon": lexicon, "exceptions": exceptions, "model": _logistic(x, np.array([y for _, y in rows], float))}
 
 
 class Matcher:
@@ -110,8 +187,7 @@ class Matcher:
         self.auto = ahocorasick.Automaton()
         for p, w in model["lexicon"].items():
             self.auto.add_word(p, (len(p), w))
-        for e in EXCEPTIONS:
-            p = " " + " ".join(folded(e).split()) + " "
+        for p in {f" {' '.join(folded(e).split())} " for e in EXCEPTIONS} | {f" {e} " for e in model["exceptions"]}:
             self.auto.add_word(p, (len(p), None))
         self.auto.make_automaton()
 
@@ -134,17 +210,18 @@ class Matcher:
 
 def train(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "toxic", folds: int = 5, held_out: int = 0) -> dict:
     small_batches(docs.sparkSession)
-    pool = labels.select(F.col(key).cast("long").alias("__k"), F.col(label).alias("__y")).filter(F.col("__y").isin(0, 1)).withColumn("__f", fold("__k", folds)).filter(F.col("__f") != held_out)
-    pool = pool.select("__k", "__y").dropDuplicates(["__k"])
-    sizes = {r[0]: r[1] for r in pool.groupBy("__y").count().collect()}  # two rows
-    part = {y: min(1.0, MAX_CLASS / n) for y, n in sizes.items()}
+    pool = labels.select(F.col(key).cast("long").alias("k"), F.col(label).alias("y")).filter(F.col("y").isin(0, 1)).filter(fold("k", folds) != held_out)
+    pool = pool.groupBy("k").agg(F.max("y").alias("y"))
+    sizes = {r[0]: r[1] for r in pool.groupBy("y").count().collect()}  # two rows
     cut = F.lit(0)
-    for y, share in part.items():
-        cut = F.when(F.col("__y") == y, int(share * 2**30)).otherwise(cut)
-    chosen = pool.filter(F.pmod(F.xxhash64(F.lit(17), "__k"), F.lit(2**30)) < cut)
-    got = docs.select(F.col(key).cast("long").alias("__k"), F.col(text).alias("__t")).join(F.broadcast(chosen), "__k")  # about 2 * MAX_CLASS rows
-    rows = sorted((r["__k"], r["__t"] or "", int(r["__y"])) for r in got.collect())
-    return learn([(t, y) for _, t, y in rows])
+    for y, n in sizes.items():
+        cut = F.when(F.col("y") == y, int(min(1.0, MAX_CLASS / n) * 2**30)).otherwise(cut)
+    place = F.pmod(F.xxhash64(F.lit(17), "k"), F.lit(2**30))
+    chosen = pool.filter(place < cut)
+    got = docs.select(F.col(key).cast("long").alias("k"), F.coalesce(F.col(text), F.lit("")).alias("t")).join(F.broadcast(chosen), "k")  # about 2 * MAX_CLASS rows
+    bytes_so_far = F.sum(F.octet_length("t")).over(Window.partitionBy("y").orderBy(place, "k", "t").rowsBetween(Window.unboundedPreceding, 0))
+    rows = got.withColumn("size", bytes_so_far).filter(F.col("size") <= MAX_BYTES).select("k", "t", "y").collect()
+    return learn([(r.t, int(r.y)) for r in sorted(rows)])
 
 
 def scorer(model: dict, text: str = "text") -> Column:

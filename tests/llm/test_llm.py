@@ -4,6 +4,7 @@ import struct
 import zlib
 from collections import Counter
 
+import duckdb
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -83,12 +84,29 @@ def test_packing(spark, odd, none):
         total[r.batch_id] += r.bucket_length
     assert all(v <= 20000 for v in total.values()) and set(total) == set(range(len(total)))
     assert packing.pack(none).count() == 0
+    hot = spark.range(3000).selectExpr("7 AS doc_id", "repeat('x', int(id % 3)) AS text", "'c' AS bucket", "'c' AS at")
+    got = sorted((r.bucket, r.position + r.batch_id * 10**6, r.n_tokens) for r in packing.pack(hot, buckets=2, budget=100).collect())
+    assert Counter(n for _, _, n in got) == {0: 1000, 1: 1000, 2: 1000} and len({x[:2] for x in got}) == 3000
+
+
+def test_packing_query(spark, docs, odd, tmp_path):
+    """The whole query against DuckDB, on documents, odd rows, texts around the budget and one of a megabyte."""
+    more = [(500_000 + i, "x" * n) for i, n in enumerate([65535, 65536, 65537, 70003, 1_100_000])]
+    df = docs.select("doc_id", "text").unionByName(odd.select("doc_id", "text")).unionByName(spark.createDataFrame(more, "doc_id long, text string"))
+    df.coalesce(1).write.parquet(str(tmp_path / "documents.parquet"))
+    c = duckdb.connect()
+    c.execute(f"CREATE VIEW documents AS SELECT * FROM read_parquet('{tmp_path}/documents.parquet/*.parquet')")
+    q = c.execute(packing.oracle())
+    at = [d[0] for d in q.description]
+    want = sorted((tuple(x[at.index(n)] for n in sorted(at)) for x in q.fetchall()), key=repr)
+    got = packing.op2_packing(spark, str(tmp_path))
+    assert sorted((tuple(r[n] for n in sorted(got.columns)) for r in got.collect()), key=repr) == want
 
 
 def test_toxicity(spark, docs, odd, none):
     labels = spark.read.parquet(f"{SF}/labels.parquet")
     assert toxicity.folded("\u0456d1\u043et!!! Cl0wn$").split() == toxicity.folded("idiot clown").split()
-    rows = [(f"plain text number {i} of words", 0) for i in range(60)] + [(f"you are a zorgle{i % 5} number {i}", 1) for i in range(40)]
+    rows = [(f"you are a plain text number {i} of words", 0) for i in range(60)] + [(f"you are a zorgle{i % 5} number {i}", 1) for i in range(40)]
     m = toxicity.Matcher(toxicity.learn(rows))
     assert m.score("such a Z0RGL3x2 here") > 0.5 > m.score("such plain text") and m.score("an 1D1OT") > 0.5 and m.score("an idiot proof plan") < 0.5
     got = toxicity.toxicity(docs, labels).collect()
@@ -96,6 +114,29 @@ def test_toxicity(spark, docs, odd, none):
     assert toxicity.toxicity(odd, labels).count() == len(ODD) and toxicity.toxicity(none, labels.filter("false")).count() == 0
 
 
+@pytest.mark.parametrize(("sf", "flagged", "missed"), [("sf0.01", 0.03, 0.4), ("sf0.1", 0.03, 0.1)])
+def test_toxicity_held_out(spark, sf, flagged, missed):
+    """sf0.01 has six toxic texts to try, of which two show nothing that others have."""
+    labels = spark.read.parquet(f"/root/testdata/{sf}/labels.parquet")
+    got = toxicity.op3_toxicity(spark, f"/root/testdata/{sf}").filter("held_out").join(labels, "doc_id").groupBy("toxic").agg(F.avg("predicted").alias("p")).collect()
+    share = {r.toxic: r.p for r in got}
+    assert share[0] <= flagged and share[1] >= 1 - missed
+
+
+def test_toxicity_learning(spark, docs):
+    copies = ["one two three four five six " * 9 + x for x in ("a", "b", "c")]
+    assert len(set(toxicity.groups([*copies, "quite another text of words", "", ""]))) == 4
+    rows = [(f"{w} word{i} text{i} here{i}", 0) for i, w in enumerate(["clean"] * 80)] + [(f"you{i} brabble{'xyz'[i % 3]} now{i}", 1) for i in range(12)] + [(f"brabblex fish swim{i}", 0) for i in range(3)]
+    model = toxicity.learn(rows)
+    assert " brab" in model["lexicon"] and "brabbiex fish" in model["exceptions"]
+    m = toxicity.Matcher(model)
+    assert m.features("a brabblex fish") == m.features("a fish") and m.score("BR4BBL3Y!") > 0.5 > m.score("clean word")
+    noise = [(f"only{i} these{i} words{i}", i % 2) for i in range(200)]
+    assert set(toxicity.learn(noise)["lexicon"]) == {f" {toxicity.folded(w).strip()} " for w in toxicity.WORDS}
+    a = spark.createDataFrame([(i, i % 2) for i in range(0, 60)] + [(i, 0) for i in range(0, 60)], "doc_id long, toxic int")
+    assert toxicity.train(docs, a) == toxicity.train(docs, a.orderBy(F.desc("toxic")))
+
+
 def test_topk(spark):
     rng = np.random.default_rng(1)
     rows = [(i, [float(x) for x in v]) for i, v in enumerate(np.round(rng.normal(0, 1, (120, 7)), 1))]
@@ -254,5 +295,5 @@ def test_pipeline_duplicates_by_row(spark):
 
 def test_packing_true_lengths(spark):
     df = spark.createDataFrame([(i, "x" * n) for i, n in enumerate([1001, 999, 1001, 5, 70003])], "doc_id long, text string")
-    rows = packing.pack(df, buckets=3).collect()
+    rows = packing.pack(df, buckets=2).collect()
     assert {r.bucket_length for r in rows} == {5, 1001, 70003} and all(r.padding == r.bucket_length - r.n_tokens >= 0 for r in rows)
