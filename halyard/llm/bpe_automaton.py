@@ -2,21 +2,31 @@
 
 The automaton reads tokens; its state is the last token read, and it accepts exactly the token sequences that the merges produce.
 It starts with the base symbols, any of which may follow any other. Merge gadgets are applied in rank order: merging u and v into w
-adds the state w with the arcs that v has at that time, lets w follow whatever u may follow, and takes the arc v away from u.
-Instead of copying rows, a gadget stores its two parents and its rank; an arc is resolved through the parents once and then kept in
-the transition table. A word is encoded from left to right: the state after each prefix is the one token that ends there and may
-follow the state before it; the path back from the end is the encoding, and decoding emits the labels of its arcs.
+adds the state w with the row of arcs that v has at that time, lets w follow whatever u may follow, and takes the arcs to v, and to
+what later merges make of v, away from u.
+
+The compiled table has a row for each state: the sorted bounds of the runs of tokens that may not follow. Tokens are numbered in
+preorder of the forest of left parts, later-made children first, so that each gadget takes one run of numbers away. A new state
+shares its row with the one it was made from until either changes, so equal rows are stored once. A word is encoded from left to
+right, with one transition a symbol of a second automaton that names the tokens ending there (Aho-Corasick over the spellings);
+exactly one of them is the next state, the one whose number is in no run of the state before it. The path back from the end is the
+encoding, and decoding emits the labels of its arcs through the file's own decoder (without one, separated by spaces).
 
 Words come from the tokenizer file's own normaliser and pre-tokenizer, run once per distinct white-space-separated piece; special
-tokens in a text are cut out first, as the tokenizers library does. Tables are bounded and start anew when full. Null and empty
-texts have no ids and decode to the empty string; rows are encoded one by one, without a shuffle.
+tokens in a text are cut out first, as the tokenizers library does. A worker's table of known pieces is bounded and starts anew when
+full, which changes no result. Texts are encoded whole, however long, and row by row, without a shuffle, so repeated rows, ties and
+null ids are harmless; other columns are not read, so their names do not matter. Null and empty texts have no ids and decode to
+the empty string. An empty table gives no rows.
 """
 
 import hashlib
 import json
 import re
 import struct
+from array import array
+from bisect import bisect_left, bisect_right
 
+import ahocorasick
 import pandas as pd
 import regex
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -24,79 +34,105 @@ from pyspark.sql import functions as F
 
 from halyard.llm.common import read
 
-MAX_ARCS = 1_000_000
 MAX_PIECES = 1_000_000
 #: Characters that the normaliser only lower-cases one by one, and none of which is white space.
 _PLAIN = re.compile("[!-~\u00a1-\u012f\u0131-\u024f]+")
 
 
+#: Stands for the end-of-word suffix in spellings; no byte-level symbol is this character.
+_END = "\uffff"
+
+
 class Automaton:
     def __init__(self, vocab: dict[str, int], merges: list[tuple[str, str]], suffix: str = ""):
-        self.vocab, self.suffix = vocab, suffix
+        self.suffix = suffix
         self.label = {i: t for t, i in vocab.items()}
-        self.rank: dict[int, int] = {}
-        self.left: dict[int, int] = {}
-        self.right: dict[int, int] = {}
-        self.rule: dict[tuple[int, int], int] = {}
-        for r, (u, v) in enumerate(merges):
-            w = vocab[u + v]
-            a, b = vocab[u], vocab[v]
-            self.rule.setdefault((a, b), r)
-            if w not in self.rank:
-                self.rank[w], self.left[w], self.right[w] = r, a, b
-        self.longest = max((len(t) for t in vocab), default=1)
-        self.arcs: dict[int, bool] = {}
-        # tokens that some merge makes, and single symbols; others are never produced
+        made = [(vocab[u], vocab[v], vocab[u + v]) for u, v in merges]
+        born = {w: r for r, (_, _, w) in enumerate(made)}
+        if len(born) < len(made):
+            raise ValueError("two merges make the same token")
+        self.place, self.rows = self._compile(made, born)
         single = {t for t in vocab if len(t) == 1 or (suffix and len(t) == 1 + len(suffix) and t.endswith(suffix))}
-        self.reach = {t: i for t, i in vocab.items() if i in self.rank or t in single}
+        self.reader = ahocorasick.Automaton()
+        for t, i in vocab.items():
+            if i in self.rows and (i in born or t in single):  # no merge makes any other
+                spelt = t.removesuffix(suffix) + _END if suffix and t.endswith(suffix) else t
+                self.reader.add_word(spelt, (i, len(spelt), self.place[i]))
+        self.reader.make_automaton()
+        self.symbols = {t.removesuffix(suffix) if suffix else t for t in single}
+
+    def _compile(self, made: list[tuple[int, int, int]], born: dict[int, int]) -> tuple[dict[int, int], dict[int, array]]:
+        """(number of every token, row of every state) after all gadgets."""
+        grown: dict[int, list[int]] = {}  # what merges make with a token as the left part, and their ranks, ascending
+        ranks: dict[int, list[int]] = {}
+        for r, (u, _, w) in enumerate(made):
+            grown.setdefault(u, []).append(w)
+            ranks.setdefault(u, []).append(r)
+        place: dict[int, int] = {}
+        end: dict[int, int] = {}
+        todo = [(i, True) for i in sorted(self.label, reverse=True) if i not in born]
+        while todo:
+            i, enter = todo.pop()
+            if enter:
+                place[i] = len(place)
+                todo.append((i, False))
+                todo += [(w, True) for w in grown.get(i, ())]  # the last made is taken first
+            else:
+                end[i] = len(place)
+        lists: dict[int, tuple | None] = dict.fromkeys(self.label)  # (first, bound, the list it extends)
+        lost = set()
+        for r, (u, v, w) in enumerate(made):
+            at = lists[u]
+            while at and not at[0] <= place[v] < at[1]:
+                at = at[2]
+            if at or u in lost or v in lost:  # an earlier merge always comes first: this one never applies
+                lost.add(w)
+                continue
+            lists[w] = lists[v]
+            later = bisect_left(ranks.get(v, []), r)  # of u = v: w itself too, as merges go from left to right
+            bound = end[grown[v][later]] if later < len(ranks.get(v, [])) else place[v] + 1
+            lists[u] = (place[v], bound, lists[u])
+        shared: dict[int, array] = {}
+        rows = {}
+        for i, cell in lists.items():
+            row = shared.get(id(cell))
+            if row is None:
+                runs, at = [], cell
+                while at:
+                    runs.append(at[:2])
+                    at = at[2]
+                row = shared[id(cell)] = array("i")
+                for a, b in sorted(runs):
+                    if row and a <= row[-1]:
+                        row[-1] = max(row[-1], b)
+                    else:
+                        row.extend((a, b))
+            rows[i] = row
+        return place, {i: row for i, row in rows.items() if i not in lost}
 
     def follows(self, x: int, y: int) -> bool:
-        """Whether token y may follow token x once all gadgets are applied."""
-        if len(self.arcs) >= MAX_ARCS:
-            self.arcs.clear()
-        known = self.arcs[x << 24 | y] = self._resolve(x, y)
-        return known
-
-    def _resolve(self, x: int, y: int) -> bool:
-        before = len(self.rule) + 1  # gadgets of a rank below this have been applied
-        while True:
-            r = self.rule.get((x, y))
-            if r is not None and r < before:
-                return False
-            rx, ry = self.rank.get(x, -1), self.rank.get(y, -1)
-            if rx < 0 and ry < 0:
-                return True
-            if rx > ry:  # state x was made from the arcs of its right part
-                before, x = rx, self.right[x]
-            else:  # the arc y was made where its left part could be read; the same merge goes from left to right
-                before, y = ry + 1, self.left[y]
+        """Whether there is an arc from state x by token y."""
+        return not bisect_right(self.rows[x], self.place[y]) & 1
 
     def encode(self, word: str) -> list[int]:
-        n, get, arcs, longest = len(word), self.reach.get, self.arcs.get, self.longest
-        state: list[int | None] = [None] * (n + 1)
-        for end in range(1, n + 1):
-            prefix = word + self.suffix if end == n else word[:end]
-            for start in range(end - longest if end > longest else 0, end):
-                t = get(prefix[start:])
-                if t is None:
-                    continue
+        if not self.symbols.issuperset(word):
+            word = "".join(c for c in word if c in self.symbols)  # symbols outside the vocabulary are left out
+        text = word + _END if self.suffix else word
+        state: list[int | None] = [None] * (len(text) + 1)
+        rows, size_of = self.rows, [0] * (len(text) + 1)
+        for end, (t, size, number) in self.reader.iter(text):
+            end += 1
+            if state[end] is None:
+                start = end - size
                 if start:
                     last = state[start]
-                    if last is None:
-                        continue
-                    known = arcs(last << 24 | t)
-                    if not (self.follows(last, t) if known is None else known):
+                    if last is None or bisect_right(rows[last], number) & 1:
                         continue
-                state[end] = t
-                break
-        out, at = [], n
+                state[end], size_of[end] = t, size
+        out, at = [], len(text) if word else 0
         while at:
-            t = state[at]
-            if t is None:  # a symbol outside the vocabulary is left out
-                at -= 1
-                continue
-            out.append(t)
-            at -= len(self.label[t]) - (len(self.suffix) if at == n else 0)
+            out.append(state[at])
+            at -= size_of[at]
         return out[::-1]
 
 
@@ -107,7 +143,7 @@ class Encoder:
         spec = json.loads(data)
         model = spec["model"]
         tok = Tokenizer.from_str(data)
-        self.normalizer, self.pre = tok.normalizer, tok.pre_tokenizer
+        self.normalizer, self.pre, self.decoder = tok.normalizer, tok.pre_tokenizer, tok.decoder
         merges = [tuple(m.split(" ")) if isinstance(m, str) else tuple(m) for m in model["merges"]]
         self.auto = Automaton(model["vocab"], merges, model.get("end_of_word_suffix") or "")
         self.special = {t["content"]: t["id"] for t in spec["added_tokens"]}
@@ -151,7 +187,10 @@ class Encoder:
             if got[0]:
                 ids.append(got[0])
                 words.append(got[1])
-        return b"".join(ids), " ".join(words)
+        coded = b"".join(ids)
+        if self.decoder:
+            return coded, self.decoder.decode([self.label[i] for (i,) in struct.iter_unpack("<I", coded)])
+        return coded, " ".join(words)
 
 
 _ENCODERS: dict[str, Encoder] = {}

@@ -239,6 +239,45 @@ def test_bpe(spark, docs, odd, none):
     assert bpe_automaton.encode_decode(none, path).count() == 0
 
 
+def test_bpe_table():
+    """The compiled table against gadgets applied one by one to explicit rows, and encoding against merging by rank."""
+    merges = [("a", "b"), ("a", "a"), ("ab", "a"), ("b", "ab"), ("aa", "b"), ("ab", "ab"), ("aba", "c"), ("b", "b"), ("aa", "aa"), ("c", "ab"), ("cab", "cab")]
+    vocab = {t: i for i, t in enumerate(["a", "b", "c", *(u + v for u, v in merges)])}
+    auto = bpe_automaton.Automaton(vocab, merges)
+    rows = {x: {vocab[y] for y in "abc"} for x in range(3)}
+    for u, v in merges:
+        a, b, w = vocab[u], vocab[v], vocab[u + v]
+        if a not in rows or b not in rows[a]:
+            continue
+        rows[w] = set(rows[b])
+        for x in [x for x in rows if a in rows[x]]:
+            rows[x].add(w)
+        rows[a] -= {b}
+        if a == b:  # merges go from left to right: after a an odd one is left at the end, not before its double
+            rows[a] -= {w}
+    assert {x: {y for y in rows if auto.follows(x, y)} for x in rows} == rows and set(auto.rows) == set(rows) < set(vocab.values())
+    assert len({id(r) for r in auto.rows.values()}) < len(vocab) and all(list(r) == sorted(set(r)) for r in auto.rows.values())
+
+    def by_rank(word):
+        parts = list(word)
+        for u, v in merges:
+            i = 0
+            while i < len(parts) - 1:
+                if (parts[i], parts[i + 1]) == (u, v):
+                    parts[i : i + 2] = [u + v]
+                i += 1
+        return [vocab[p] for p in parts]
+
+    import itertools
+
+    for n in range(1, 8):
+        for word in map("".join, itertools.product("abc", repeat=n)):
+            assert auto.encode(word) == by_rank(word)
+    assert auto.encode("") == [] and auto.encode("axb") == auto.encode("ab")
+    with pytest.raises(ValueError, match="same token"):
+        bpe_automaton.Automaton({t: i for i, t in enumerate(["a", "aa", "aaa"])}, [("a", "a"), ("a", "aa"), ("aa", "a")])
+
+
 def test_url_filter(spark):
     urls = [None, "", "/en/1", "http://A.example.COM/en/71?x", "http://example.com/en/8", "https://notcom/en/", "http://com/en/", "x://b.example.net/de/80#f", "x://b.example.net/de/9", "a://org?y", "a://a.org/es/", "a://a.org/es/"]
     df = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string").withColumn("host", F.lit("clash"))
