@@ -5,10 +5,19 @@ best forward score of its prefix and the number of tokens on that path, computed
 prefix share the work, and the node of a whole word holds its count. A character in no piece costs the lowest score less 10 and
 falls back to its bytes. Among equal scores the longest last piece wins (the earliest start).
 
-The trie lives in the Python worker, is shared by its tasks and starts anew beyond MAX_NODES nodes, which bounds memory and
-changes no count. There is no shuffle. Null and empty texts have no words and no tokens; rows are counted one by one.
+Scores are log probabilities. A model of unigram type brings its own. The registered query's file is of BPE type, whose scores are
+negated merge ranks: its pieces get probabilities by Zipf's law over those ranks, 1 / (rank + ZIPF), normalised. So what is
+counted is the likeliest segmentation under that unigram model, not the file's own merging: on 150 documents of sf0.01 the
+counts are 1.1 % higher in all than the library's (1.5 % apart on the average); with bare ranks as scores they were 14.5 % higher.
+
+The trie lives in the Python worker, is shared by its tasks and starts anew beyond MAX_NODES nodes or MAX_WORDS words, which
+bounds memory and changes no count. There is no shuffle. Null and empty texts have no words and no tokens; texts are counted
+whole, however long, and row by row, so repeated rows, ties and null ids are harmless; other columns are not read, so their names
+do not matter. An empty table gives no rows.
 """
 
+import math
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -18,17 +27,25 @@ from halyard.llm.common import read
 MAX_NODES = 1_200_000
 MAX_WORDS = 1_000_000
 UNKNOWN_PENALTY = 10.0
+ZIPF = 2.7
 MARK = "▁"
 
 
+def log_probabilities(scores: dict[str, float]) -> dict[str, float]:
+    """Log probabilities by Zipf's law of pieces whose scores are negated merge ranks."""
+    total = math.log(sum(1 / (ZIPF - s) for s in scores.values()))
+    return {p: -math.log(ZIPF - s) - total for p, s in scores.items()}
+
+
 def vocabulary(path: str | None = None) -> dict[str, float]:
-    """Pieces and scores of a sentencepiece model, without special and byte pieces."""
+    """Pieces and log probabilities of a sentencepiece model, without special and byte pieces."""
     import public_tokenizers
     import sentencepiece
 
     sp = sentencepiece.SentencePieceProcessor(model_file=path or public_tokenizers.path("piece_bpe_32k.model"))
     ids = range(sp.get_piece_size())
-    return {sp.id_to_piece(i): sp.get_score(i) for i in ids if not (sp.is_unknown(i) or sp.is_control(i) or sp.is_byte(i) or sp.is_unused(i))}
+    scores = {sp.id_to_piece(i): sp.get_score(i) for i in ids if not (sp.is_unknown(i) or sp.is_control(i) or sp.is_byte(i) or sp.is_unused(i))}
+    return log_probabilities(scores) if all(s == int(s) <= 0 for s in scores.values()) else scores  # whole numbers are merge ranks
 
 
 class Trie:
