@@ -9,14 +9,20 @@ probability below MISS, and much less often above it.
 2. Buckets: a representative enters table (i, j) only if some other one shares A_i and some other one shares B_j.
 3. Links: in each bucket the member that is best connected over all tables is the hub, and every other member is compared with
    it on full sets. Two members that both link to their hub need no test of their own. For the others an exact prefix filter works
-   on each member's difference from the hub (shingles added, then shingles removed): |x ^ y| = |Dx ^ Dy|, and as x does not link to
-   the hub, Dx is large, so a linked pair must share elements at the head of both differences. Only such pairs are compared.
-   Groups of copies are thus linked by stars, never by all pairs, and no pair that meets in a table is dropped.
+   on each member's difference from the hub: shingles added, and shingles removed, with |x ^ y| = |Dx ^ Dy|. As x does not link to the
+   hub, Dx is large, so a linked pair must share elements at the head of both differences; where both have added much, already at
+   the head of what they added, which keeps pages of one template apart. Heads are taken by rarity among the hub's members: what no
+   other member has comes first and can meet nothing. Only pairs that meet in their heads are compared on full sets. Groups of
+   copies are thus linked by stars, never by all pairs, and no pair that meets in a table is dropped.
 4. Components: minimum labels spread over links with pointer jumping; each round is a written table.
 
 Every exchange is by bucket key, document or link; hot keys are only in joins, which Spark splits, and in aggregates that
-combine before the shuffle. A document without words links to nothing. A null text counts as empty; a null id gets no component
-and is not kept; rows that repeat an id and text fall in one component, each row being returned.
+combine before the shuffle. Sets hold 64-bit hashes of shingles, of whole texts however long; "full sets" are these, so two
+different shingles count as one with a chance of 2^-64 a pair.
+
+A document without words (null, empty or white space) links to nothing and is its own component. A null id gets no component and is
+not kept; rows that repeat an id and text fall in one component, each row being returned. Of ties the smallest id represents a
+class and a component. Other columns are not read, so their names do not matter. An empty table gives no rows.
 """
 
 import math
@@ -112,10 +118,8 @@ def verified(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame
 
 
 def stars(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
-    """(h, x, nx, d, linked, head, probe) of hub and member pairs: d is the size of x's difference from h; the heads are what a linked partner must meet.
-
-    head: against a partner that does not link to h. probe: against one that does; null if x itself links.
-    """
+    """(h, x, nx, na, d, linked, diff) of hub and member pairs: diff holds the na shingles that x has and h has not, then the others
+    of the d in which they differ."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in tidied(batches):
@@ -123,32 +127,58 @@ def stars(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
             for h, x, sh, sx in zip(b["h"], b["x"], b["sh"], b["sx"], strict=True):
                 p, q = np.frombuffer(sh, np.int64), np.frombuffer(sx, np.int64)
                 added, removed = np.setdiff1d(q, p, assume_unique=True), np.setdiff1d(p, q, assume_unique=True)
-                both, d = len(q) - len(added), len(added) + len(removed)
+                both = len(q) - len(added)
                 linked = den * both >= num * (len(p) + len(q) - both)
-                need = ((den + num) * d + (den - num) * (len(p) - len(q))) // (2 * (den + num)) + 1
-                order = np.concatenate([added, removed])
-                probe = None if linked else order[: d - max(1, -(-(num * d - (den - num) * len(q)) // num)) + 1]
-                rows.append((h, x, len(q), d, linked, order[: max(0, d - need + 1)], probe))
-            yield pd.DataFrame(rows, columns=["h", "x", "nx", "d", "linked", "head", "probe"])
+                rows.append((h, x, len(q), len(added), len(added) + len(removed), linked, np.concatenate([added, removed])))
+            yield pd.DataFrame(rows, columns=["h", "x", "nx", "na", "d", "linked", "diff"])
 
     j = pairs.join(sets.withColumnsRenamed({"id": "x", "s": "sx"}), "x").join(sets.withColumnsRenamed({"id": "h", "s": "sh"}), "h")
-    return j.select("h", "x", "sh", "sx").mapInPandas(run, "h long, x long, nx long, d long, linked boolean, head array<long>, probe array<long>")
+    return j.select("h", "x", "sh", "sx").mapInPandas(run, "h long, x long, nx long, na long, d long, linked boolean, diff array<long>")
+
+
+def heads(star: DataFrame, num: int, den: int) -> DataFrame:
+    """(h, e, x, nx, na, d, more, pa, pd, by_added, by_all, by_linked, by_probe): the elements of differences in which a pair must meet.
+
+    more: how far what x added exceeds its share of a link's allowance, times den + num; pa and pd: places, by rarity, in what x
+    added and in its whole difference. by_added: a head for partners with `more` above 0 as well; by_all: for other
+    partners that do not link to the hub; by_probe: for those that do, whose own heads are by_linked.
+    """
+    both, less = den + num, den - num
+    hubs = star.groupBy("h").agg(F.count("*").alias("n"), F.count_if(~F.col("linked")).alias("far")).filter("n > 1 AND far > 0")
+    el = star.join(hubs.select("h"), "h").select("h", "x", "nx", "na", "d", "linked", F.posexplode("diff").alias("i", "e"))
+    el = el.select("h", "x", "nx", "na", "d", "linked", "e", F.expr("i < na").alias("a"))
+    seen = el.groupBy("h", "e").agg(F.count("*").alias("c"), F.count_if(~F.col("linked")).alias("far")).filter("c > 1 AND far > 0").select("h", "e", "c")
+    shared = el.join(seen, ["h", "e"])  # all others can meet nothing, and come first
+    place = "{n} - count(*) OVER (PARTITION BY {w}) + row_number() OVER (PARTITION BY {w} ORDER BY c, e) - 1"
+    shared = shared.withColumn("pd", F.expr(place.format(n="d", w="h, x"))).withColumn("pa", F.expr(place.format(n="na", w="h, x, a")))
+    shared = shared.withColumn("more", F.expr(f"{both} * na - {less} * nx"))
+    first = f"d - ({both} * d + {less} * (d - 2 * na)) div {2 * both}"  # d - 2 * na: how much larger the hub is
+    shared = shared.withColumns({
+        "by_added": F.expr(f"NOT linked AND a AND more > 0 AND pa < na - more div {2 * both}"),
+        "by_all": F.expr(f"NOT linked AND pd < {first}"),
+        "by_linked": F.expr(f"linked AND pd < {first}"),
+        "by_probe": F.expr(f"NOT linked AND pd <= d - greatest(1, CAST(ceil(({num} * d - {less} * nx) / {num}) AS BIGINT))"),
+    })
+    return shared.drop("c", "a", "linked").filter("by_added OR by_all OR by_linked OR by_probe")
 
 
 def across(star: DataFrame, num: int, den: int) -> DataFrame:
     """(u, v): pairs of one hub's members that may link although not both link to the hub."""
-    out = star.filter("NOT linked")
+    both, less = den + num, den - num
+    head = written(heads(star, num, den), "heads")
+
+    def side(which: str, s: str) -> DataFrame:
+        return head.filter(which).select("h", "e", *[F.col(c).alias(f"{c}_{s}") for c in ("x", "nx", "na", "d", "more", "pa", "pd")])
 
-    def side(rows: DataFrame, heads: str, s: str) -> DataFrame:
-        return rows.select("h", F.col("x").alias(s), F.col("nx").alias(f"n{s}"), F.col("d").alias(f"d{s}"), F.posexplode(heads).alias(f"i{s}", "e"))
+    def meet(left: str, right: str, fits: str) -> DataFrame:
+        pairs = side(left, "u").join(side(right, "v"), ["h", "e"]).filter(f"x_u <> x_v AND {den} * least(nx_u, nx_v) >= {num} * greatest(nx_u, nx_v) AND {fits}")
+        return pairs.select(F.least("x_u", "x_v").alias("u"), F.greatest("x_u", "x_v").alias("v"))
 
     # at the first element that two differences share, what follows it must still make up the overlap that a link needs
-    fits = f"{2 * (den + num)} * least(du - iu, dv - iv) >= {den + num} * (du + dv) - {den - num} * (nu + nv)"
-    near = f"{den} * least(nu, nv) >= {num} * greatest(nu, nv) AND {fits}"
-    outer = side(out, "head", "u").join(side(out, "head", "v"), ["h", "e"]).filter(f"u < v AND {near}").select("u", "v")
-    mixed = side(out, "probe", "u").join(side(star.filter("linked"), "head", "v"), ["h", "e"]).filter(near)
-    mixed = mixed.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v"))
-    return outer.union(mixed).distinct()
+    added = f"x_u < x_v AND {2 * both} * least(na_u - pa_u, na_v - pa_v) >= more_u + more_v"
+    whole = f"{2 * both} * least(d_u - pd_u, d_v - pd_v) >= {both} * (d_u + d_v) - {less} * (nx_u + nx_v)"
+    out = meet("by_added", "by_added", added).union(meet("by_all AND more <= 0", "by_all", whole)).union(meet("by_probe", "by_linked", whole))
+    return out.distinct()
 
 
 def components(links: DataFrame, nodes: DataFrame) -> DataFrame:

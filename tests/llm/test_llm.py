@@ -67,6 +67,33 @@ def test_minhash(spark, docs, odd, none):
     assert minhash.near_duplicates(none).count() == 0
 
 
+def template(n, share, extra=0):
+    """n pages of one template that do not link: `share` of each page's 400 words is its own; `extra` pages hold the template alone."""
+    body, own = [f"t{i}" for i in range(round(400 * (1 - share)))], round(400 * share)
+    return [(k, " ".join(body + [f"p{k}_{i}" for i in range(own)])) for k in range(n)] + [(n + k, " ".join([*body, f"e{k}"])) for k in range(extra)]
+
+
+def test_minhash_template(spark, tmp_path, monkeypatch):
+    """Pages of one template meet in buckets, but only those that may link are compared; components still equal brute force."""
+    made, real = [], minhash.across
+
+    def counted(star, num, den):
+        pairs = minhash.written(real(star, num, den), "pairs")
+        made.append(pairs.count())
+        return pairs
+
+    monkeypatch.setattr(minhash, "across", counted)
+    for share in (0.13, 0.18):
+        for n in (100, 400):
+            rows = minhash.near_duplicates(spark.createDataFrame(template(n, share), "doc_id long, text string")).collect()
+            assert all(r.component_id == r.doc_id for r in rows) and made[-1] <= n
+    texts = template(40, 0.14) + [(100 + k, t.replace("t7 ", f"u{k} ")) for k, t in template(12, 0.14)] + [(200 + k, " ".join(t.split()[: 290 + k])) for k, t in template(20, 0.16)]
+    _, label = groups(texts, 80)
+    assert 1 < len(set(label.values())) < len(texts)
+    rows = minhash.near_duplicates(spark.createDataFrame(texts, "doc_id long, text string")).collect()
+    assert {r.doc_id: r.component_id for r in rows} == label
+
+
 def test_packing(spark, odd, none):
     edges, counts = [1, 3, 4, 9, 10, 30], [5, 1, 7, 2, 2, 1]
     import itertools
@@ -172,17 +199,28 @@ def test_quality(spark, docs, odd, none):
 
 
 def test_token_counts(spark, docs, odd, none):
+    """The query's result on every document against the library's own unigram model of the same log probabilities."""
     from tokenizers import Tokenizer, models
 
     pieces = token_counts.vocabulary()
+    assert abs(sum(np.exp(s) for s in pieces.values()) - 1) < 1e-9 and max(pieces, key=pieces.get) == "\u2581t"
     low = min(pieces.values())
     lib = Tokenizer(models.Unigram([("<unk>", 0.0)] + [(f"<0x{b:02X}>", low) for b in range(256)] + list(pieces.items()), unk_id=0, byte_fallback=True))
-    some = docs.select("doc_id", "text").limit(40).unionByName(odd.select("doc_id", "text")).collect()
-    trie = token_counts.Trie(pieces)
-    for r in some:
+    long = spark.createDataFrame([(8001, "abc" * 400_000 + " " + "d " * 100_000)], "doc_id long, text string")
+    df = docs.select("doc_id", "text").unionByName(odd.select("doc_id", "text")).unionByName(long)
+    known = {}
+
+    def count(w):
+        if w not in known:
+            known[w] = len(lib.encode(token_counts.MARK + w.decode(), add_special_tokens=False).ids)
+        return known[w]
+
+    want = Counter()
+    for r in df.collect():
         w = (r.text or "").encode().split()
-        assert trie.tokens(r.text) == (len(w), sum(len(lib.encode(token_counts.MARK + x.decode(), add_special_tokens=False).ids) for x in w))
-    assert token_counts.token_counts(odd).count() == len(ODD) and token_counts.token_counts(none).count() == 0
+        want[r.doc_id, len(w), sum(map(count, w))] += 1
+    assert Counter(tuple(r) for r in token_counts.token_counts(df).collect()) == want
+    assert token_counts.token_counts(none).count() == 0
 
 
 def test_token_files(spark, docs, odd, none, tmp_path):
