@@ -1,36 +1,35 @@
 """Exact top-k inner products by multi-resolution segment statistics (operator 4).
 
-Vectors are packed into blocks. For a query q and a candidate x cut into segments, the segment means m and deviations d bound the
-squared distance from below by the sum of n * ((mq - mx)^2 + (dq - dx)^2), which is the same as bounding the inner product from
-above by the sum of n * (mq * mx + dq * dx): one small matrix product per resolution. In each pair of a query block and a candidate
-block the coarse bounds pick k candidates per query, whose exact scores give a threshold, and a task carries the best scores of a
-query on to its next candidate block; what passes the coarse and then the fine bounds is scored exactly, by a matrix product where it
-fills one. The best k of all blocks follow by a window that keeps k rows per query and partition.
-
-Every query meets every candidate block through an equi-join on a slot number, so neither side is broadcast or collected.
+For a query q and a candidate x cut into segments, the segment means m and deviations d bound the squared distance from below by the
+sum of n * ((mq - mx)^2 + (dq - dx)^2), which is the same as bounding the inner product from above by the sum of
+n * (mq * mx + dq * dx): one small matrix product per resolution. In each pair of blocks of ROWS queries and ROWS candidates the
+coarse bounds pick k candidates per query, whose exact scores give a threshold, and a task carries the best scores of a query on to its
+next candidate block; what passes the coarse and then the fine bounds is scored exactly, by a matrix product where it fills one.
+
+Candidates are dealt into groups of about GROUP_BYTES, queries likewise, and each pair of groups is one cogroup of bounded size, so neither
+side is broadcast or collected and the number of groups follows the data. A cogroup gives k rows per query at most; a window keeps
+the best k of all.
+
 Scores are integers: exact in float64 up to 2^53, beyond that Python integers, held to the range of a long. Vectors that are null,
 empty, or hold a null or non-finite component take no part, nor do rows without id; vectors of different dimension never meet.
-Repeated ids are separate rows: each is a query, and only the row itself is left out of its candidates.
+Repeated ids are separate rows: each is a query, and only the row itself is left out of its candidates. Ties go to the smaller id. Long
+vectors make smaller groups. Other columns are not read, so their names do not matter. An empty table gives no rows.
 """
 
-from collections import OrderedDict
-from collections.abc import Iterator
-
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from halyard.llm.common import read, written
 
 ROWS = 2048
-SLOTS = 64
+#: Bytes of vectors, as doubles, in a group of candidates or queries.
+GROUP_BYTES = 16 << 20
 LEVELS = (4, 16)
 SCALE = 64
 #: Pairs are scored by a matrix product if they are at least one in so many of its cells.
 DENSE = 16
-#: Query blocks whose best scores a task remembers; forgetting some costs time and changes no result.
-KNOWN = 128
 _I64 = np.iinfo(np.int64)
 
 
@@ -111,47 +110,51 @@ def block_top(q: np.ndarray, q_rid: np.ndarray, x: np.ndarray, x_rid: np.ndarray
     return (a, b, s), best_of(k, known, own)
 
 
-def blocks(rows: DataFrame) -> DataFrame:
-    """(dim, rid, id, x): rows of equal dimension packed as arrays of bytes."""
+def group_top(q: np.ndarray, q_rid: np.ndarray, x: np.ndarray, x_rid: np.ndarray, ids: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(query row, candidate row, score) of the k best candidates of each query in a group."""
+    out = []
+    for i in range(0, len(q), ROWS):
+        known, found = None, []
+        for j in range(0, len(x), ROWS):
+            (a, b, s), known = block_top(q[i : i + ROWS], q_rid[i : i + ROWS], x[j : j + ROWS], x_rid[j : j + ROWS], ids[j : j + ROWS], k, known)
+            found.append((a, b + j, s))
+        a, b, s = (np.concatenate(z) for z in zip(*found, strict=True))
+        order = np.lexsort((x_rid[b], ids[b], -s.astype(object) if len(s) and s.min() == _I64.min else -s, a))
+        a, b, s = a[order], b[order], s[order]
+        best = np.arange(len(a)) - np.searchsorted(a, a) < k
+        out.append((a[best] + i, b[best], s[best]))
+    return tuple(np.concatenate(z) for z in zip(*out, strict=True))
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            b = b.assign(dim=[len(v) for v in b["v"]])
-            for dim, g in b.groupby("dim"):
-                for i in range(0, len(g), ROWS):
-                    p = g.iloc[i : i + ROWS]
-                    x = np.floor(SCALE * np.stack(p["v"].to_list()).astype(np.float64))
-                    yield pd.DataFrame({"dim": [dim], "rid": [p["rid"].to_numpy().tobytes()], "id": [p["id"].to_numpy().tobytes()], "x": [x.tobytes()]})
 
-    return rows.mapInPandas(run, "dim int, rid binary, id binary, x binary")
+_FOUND = pa.schema([("q_rid", pa.int64()), ("query_id", pa.int64()), ("rid", pa.int64()), ("id", pa.int64()), ("score", pa.int64())])
 
 
 def search(df: DataFrame, is_query: str, k: int = 20, key: str = "vec_id", vec: str = "embedding") -> DataFrame:
     """query_id, rank, key, score. is_query: a condition on `id`."""
-    v = F.col(vec)
     good = f"`{vec}` IS NOT NULL AND size(`{vec}`) > 0 AND forall(`{vec}`, x -> x IS NOT NULL AND NOT isnan(x) AND abs(x) < double('infinity'))"
-    rows = df.filter(good).filter(F.col(key).isNotNull()).select(F.monotonically_increasing_id().alias("rid"), F.col(key).cast("long").alias("id"), v.cast("array<double>").alias("v"))
-    rows = written(rows, "vectors")
-    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    # several blocks per task and a fixed number of slots: each slot holds its share of the candidates
-    cand = written(blocks(rows.repartition(n, "rid")).withColumn("slot", F.pmod(F.xxhash64("rid"), F.lit(SLOTS)).cast("int")), "blocks")
-    query = written(blocks(rows.filter(is_query).repartition(n, "rid")), "queries")
-    query = query.select("dim", F.col("rid").alias("q_rid"), F.col("id").alias("q_id"), F.col("x").alias("q"), F.explode(F.sequence(F.lit(0), F.lit(SLOTS - 1))).alias("slot"))
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        known: OrderedDict[bytes, np.ndarray] = OrderedDict()
-        for b in batches:
-            for r in b.itertuples():
-                q, x = np.frombuffer(r.q).reshape(-1, r.dim), np.frombuffer(r.x).reshape(-1, r.dim)
-                q_rid, rid, ids = (np.frombuffer(z, np.int64) for z in (r.q_rid, r.rid, r.id))
-                (i, j, s), known[r.q_rid] = block_top(q, q_rid, x, rid, ids, k, known.get(r.q_rid))
-                known.move_to_end(r.q_rid)
-                if len(known) > KNOWN:
-                    known.popitem(last=False)
-                yield pd.DataFrame({"q_rid": q_rid[i], "query_id": np.frombuffer(r.q_id, np.int64)[i], "rid": rid[j], "id": ids[j], "score": s})
-
-    met = query.join(cand, ["dim", "slot"]).select("dim", "q_rid", "q_id", "q", "rid", "id", "x")
-    best = met.mapInPandas(run, "q_rid long, query_id long, rid long, id long, score long")
+    rows = df.filter(good).filter(F.col(key).isNotNull()).select(F.monotonically_increasing_id().alias("rid"), F.col(key).cast("long").alias("id"), F.size(vec).alias("dim"), F.col(vec).cast("array<double>").alias("v"))
+    rows = written(rows, "vectors")  # written, so that row numbers stay the same
+    size = rows.agg(F.count("*").alias("n"), F.sum(8 * F.col("dim")).alias("b"), F.count_if(F.expr(is_query)).alias("nq"), F.sum(F.expr(f"CASE WHEN {is_query} THEN 8 * dim END")).alias("bq")).first()
+    tasks = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    n_x = max(-(-(size.b or 0) // GROUP_BYTES), min(tasks, -(-size.n // ROWS)), 1)
+    n_q = max(-(-(size.bq or 0) // GROUP_BYTES), 1)
+
+    def dealt(r: DataFrame, own: str, n_own: int, other: str, n_other: int) -> DataFrame:
+        return r.withColumn(own, F.pmod(F.xxhash64("rid"), F.lit(n_own)).cast("int")).withColumn(other, F.explode(F.sequence(F.lit(0), F.lit(n_other - 1)))).groupBy("dim", "x_group", "q_group")
+
+    def vectors(t: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        v = t["v"].combine_chunks().flatten().to_numpy(zero_copy_only=False)
+        return np.floor(SCALE * v).reshape(t.num_rows, -1), t["rid"].to_numpy(), t["id"].to_numpy()
+
+    def run(left: pa.Table, right: pa.Table) -> pa.Table:
+        if not (left.num_rows and right.num_rows):
+            return _FOUND.empty_table()
+        (q, q_rid, q_id), (x, rid, ids) = vectors(left), vectors(right)
+        a, b, s = group_top(q, q_rid, x, rid, ids, k)
+        return pa.table([q_rid[a], q_id[a], rid[b], ids[b], s], schema=_FOUND)
+
+    met = dealt(rows.filter(is_query), "q_group", n_q, "x_group", n_x).cogroup(dealt(rows, "x_group", n_x, "q_group", n_q))
+    best = met.applyInArrow(run, "q_rid long, query_id long, rid long, id long, score long")
     best = best.withColumn("rank", F.expr("row_number() OVER (PARTITION BY q_rid ORDER BY score DESC, id, rid)")).filter(F.col("rank") <= k)
     return best.select("query_id", "rank", F.col("id").alias(key), "score")
 
