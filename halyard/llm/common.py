@@ -2,6 +2,7 @@
 
 import atexit
 import ctypes
+import re
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -18,10 +19,12 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that the driver and all executors share: spark.checkpoint.dir, or one of our own where that is unset (tests)."""
+    """The folder that the driver and all executors share: spark.checkpoint.dir; on a single machine one of our own where that is unset."""
     sc = spark.sparkContext
     found = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
     if not found:
+        if not re.fullmatch(r"local(\[.*\])?", sc.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         found = tempfile.mkdtemp(prefix="halyard-")
         sc.setCheckpointDir(found)
     return found.rstrip("/")
