@@ -6,16 +6,18 @@ backpropagation through time; every byte position gets a label distribution, and
 
 A text is read whole, in windows of WINDOW bytes in which the states start at zero; the last window ends with the text and counts
 only its new positions; shorter texts are padded with spaces that do not count. Training reads at most about
-MAX_DOCS documents per language, chosen by hash, outside the held-out fold. Of their windows it draws
+MAX_DOCS documents and MAX_BYTES bytes of text per language, chosen by hash, outside the held-out fold. Of their windows it draws
 TRAIN_WINDOWS per language, with replacement, about 0.4 MB whatever the texts hold. A text that is null or has no letter is `und` with
-score 0; without training rows every text is. Rows are judged alone, so repeated rows, null ids and extra columns are harmless.
+score 0; without training rows every text is. Rows are judged alone and whole, however long their texts, so repeated rows, ties and
+null ids (never held out, never learned from) are harmless; other columns are not read, so their names do not matter. An empty
+table gives no rows.
 """
 
 import re
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from halyard.llm.common import fold, read, small_batches, tidy
@@ -23,6 +25,7 @@ from halyard.llm.common import fold, read, small_batches, tidy
 WINDOW = 128
 HIDDEN = 8
 MAX_DOCS = 500
+MAX_BYTES = 4 << 20
 TRAIN_WINDOWS = 3000
 EPOCHS = 8
 BATCH = 256
@@ -38,10 +41,10 @@ def _forward(rows: np.ndarray, p: dict, d: str, keep: bool = False):
     b, t = rows.shape
     table, u = p[f"W{d}"], p[f"U{d}"]
     n = u.shape[0]
-    h = np.zeros((b, n), np.float32)
-    out = np.empty((t, b, n), np.float32)
+    h = np.zeros((b, n), u.dtype)
+    out = np.empty((t, b, n), u.dtype)
     saved = []
-    x = np.empty((b, 2 * n), np.float32)
+    x = np.empty((b, 2 * n), u.dtype)
     for k in range(t):
         a = np.matmul(h, u)
         np.take(table, rows[:, k], axis=0, out=x)
@@ -64,7 +67,7 @@ def _backward(rows: np.ndarray, p: dict, d: str, saved: list, dout: np.ndarray)
     b, t = rows.shape
     u = p[f"U{d}"]
     n = u.shape[0]
-    da_all, du, dh = np.empty((t, b, 2 * n), np.float32), np.zeros_like(u), np.zeros((b, n), np.float32)
+    da_all, du, dh = np.empty((t, b, 2 * n), u.dtype), np.zeros_like(u), np.zeros((b, n), u.dtype)
     for k in range(t - 1, -1, -1):
         h, z, c, mz, mc = saved[k]
         dh = dh + dout[k]
@@ -74,7 +77,7 @@ def _backward(rows: np.ndarray, p: dict, d: str, saved: list, dout: np.ndarray)
         du += h.T @ da
         dh = dh * z + da @ u.T
     flat, at = da_all.reshape(-1, 2 * n), rows.T.reshape(-1)
-    dw = np.stack([np.bincount(at, flat[:, j], 256) for j in range(2 * n)], 1).astype(np.float32)
+    dw = np.stack([np.bincount(at, flat[:, j], 256) for j in range(2 * n)], 1).astype(u.dtype)
     return {f"W{d}": dw, f"U{d}": du}
 
 
@@ -123,6 +126,25 @@ def probabilities(texts: list[bytes], p: dict) -> np.ndarray:
     return out / total[:, None]
 
 
+def loss_and_gradient(b: np.ndarray, label: np.ndarray, p: dict) -> tuple[float, dict]:
+    """Mean cross-entropy of all positions of windows b with the given labels, and its gradient by backpropagation through time."""
+    n = p["Uf"].shape[0]
+    f, sf = _forward(b, p, "f", True)
+    g, sg = _forward(b[:, ::-1], p, "b", True)
+    t, w = b.shape[1], len(b)
+    s = f.reshape(-1, n) @ p["Of"] + g[::-1].reshape(-1, n) @ p["Ob"] + p["b"]
+    s = np.exp(s - s.max(1, keepdims=True))
+    s /= s.sum(1, keepdims=True)
+    own = np.arange(t * w), np.tile(label, t)
+    loss = -float(np.log(s[own]).mean(dtype=np.float64))
+    s[own] -= 1
+    s /= t * w
+    grad = {"Of": f.reshape(-1, n).T @ s, "Ob": g[::-1].reshape(-1, n).T @ s, "b": s.sum(0)}
+    grad |= _backward(b, p, "f", sf, (s @ p["Of"].T).reshape(t, w, n))
+    grad |= _backward(b[:, ::-1], p, "b", sg, (s @ p["Ob"].T).reshape(t, w, n)[::-1])
+    return loss, grad
+
+
 def fit(rows: list[tuple[str, str]], seed: int = 7) -> dict | None:
     """Parameters and label names from (text, language) rows; None without any."""
     names = sorted({lang for _, lang in rows})
@@ -150,18 +172,7 @@ def fit(rows: list[tuple[str, str]], seed: int = 7) -> dict | None:
         order = rng.permutation(len(x))
         for i in range(0, len(x), BATCH):
             at = order[i : i + BATCH]
-            b, label = x[at], y[at]
-            f, sf = _forward(b, p, "f", True)
-            g, sg = _forward(b[:, ::-1], p, "b", True)
-            t, w = b.shape[1], len(b)
-            s = f.reshape(-1, n) @ p["Of"] + g[::-1].reshape(-1, n) @ p["Ob"] + p["b"]
-            s = np.exp(s - s.max(1, keepdims=True))
-            s /= s.sum(1, keepdims=True)
-            s[np.arange(t * w), np.tile(label, t)] -= 1
-            s /= t * w
-            grad = {"Of": f.reshape(-1, n).T @ s, "Ob": g[::-1].reshape(-1, n).T @ s, "b": s.sum(0)}
-            grad |= _backward(b, p, "f", sf, (s @ p["Of"].T).reshape(t, w, n))
-            grad |= _backward(b[:, ::-1], p, "b", sg, (s @ p["Ob"].T).reshape(t, w, n)[::-1])
+            _, grad = loss_and_gradient(x[at], y[at], p)
             step += 1
             rate = np.float32(0.025 * (1 - step / total) + 0.0005)
             for q, a in p.items():  # Adam
@@ -175,12 +186,12 @@ def sample(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str =
     """(text, language) of about MAX_DOCS labelled documents per language, chosen by hash, outside the held-out fold."""
     small_batches(docs.sparkSession)
     rows = docs.select(F.col(key).cast("long").alias("k"), F.col(text).alias("t"), F.col(lang).alias("l")).withColumn("f", fold("k", folds)).filter(f"l IS NOT NULL AND t IS NOT NULL AND f <> {held_out}")
-    sizes = {r[0]: r[1] for r in rows.select("l").groupBy("l").count().collect()}  # one row per language
-    cut = F.lit(0)
-    for name, n in sizes.items():
-        cut = F.when(F.col("l") == name, int(min(1.0, MAX_DOCS / n) * 2**30)).otherwise(cut)
-    got = rows.filter(F.pmod(F.xxhash64(F.lit(29), "k"), F.lit(2**30)) < cut).select("k", "t", "l").collect()  # about MAX_DOCS per language
-    return [(r.t, r.l) for r in sorted(got, key=lambda r: (r.k, r.t))]
+    sizes = rows.groupBy("l").agg(F.count("*").alias("n"))  # one row per language
+    place = F.pmod(F.xxhash64(F.lit(29), "k"), F.lit(2**30))
+    got = rows.join(F.broadcast(sizes), "l").filter(place < F.expr(f"CAST(least(1D, {MAX_DOCS}D / n) * {2**30} AS BIGINT)")).select("k", "t", "l", place.alias("place"))  # about MAX_DOCS per language
+    bytes_so_far = F.sum(F.octet_length("t")).over(Window.partitionBy("l").orderBy("place", "k", "t").rowsBetween(Window.unboundedPreceding, 0))
+    some = got.withColumn("size", bytes_so_far).filter(F.col("size") <= MAX_BYTES).select("k", "t", "l").collect()
+    return [(r.t, r.l) for r in sorted(some, key=lambda r: (r.k, r.t, r.l))]
 
 
 def train(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "lang", folds: int = 3, held_out: int = 1) -> dict | None:

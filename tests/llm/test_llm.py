@@ -253,6 +253,62 @@ def test_token_files(spark, docs, odd, none, tmp_path):
     assert token_files.read_files(spark, str(tmp_path / "n")).count() == 0
 
 
+def test_language_gradient():
+    """Backpropagation through time against differences, in double precision, away from the kinks of the hard nonlinearities."""
+    rng = np.random.default_rng(5)
+    p = {f"W{d}": rng.normal(0, 0.3, (256, 6)) for d in "fb"} | {f"U{d}": rng.normal(0, 0.3, (3, 6)) for d in "fb"} | {f"O{d}": rng.normal(0, 0.3, (3, 2)) for d in "fb"} | {"b": rng.normal(0, 0.3, 2)}
+    x, y = rng.integers(97, 103, (4, 9)), np.array([0, 1, 1, 0])
+    loss, grad = langid.loss_and_gradient(x, y, p)
+    s = langid.logits(x, p)
+    q = np.exp(s) / np.exp(s).sum(2, keepdims=True)
+    assert abs(loss + np.mean([np.log(q[:, i, y[i]]) for i in range(4)])) < 1e-9
+    for name, a in p.items():
+        for at in [(100, 2), (98, 5)] if name[0] == "W" else [(1, 0), (2, 1)] if a.ndim == 2 else [(1,)]:
+            old, step = a[at], 1e-6
+            a[at] = old + step
+            up = langid.loss_and_gradient(x, y, p)[0]
+            a[at] = old - step
+            down = langid.loss_and_gradient(x, y, p)[0]
+            a[at] = old
+            assert abs((up - down) / (2 * step) - grad[name][at]) < 1e-6
+
+
+def test_language_forward():
+    """Pooled probabilities against a position-by-position reference, with short, odd and long texts."""
+    rng = np.random.default_rng(6)
+    p = {f"W{d}": rng.normal(0, 0.3, (256, 4)).astype(np.float32) for d in "fb"} | {f"U{d}": rng.normal(0, 0.3, (2, 4)).astype(np.float32) for d in "fb"} | {f"O{d}": rng.normal(0, 0.3, (2, 3)).astype(np.float32) for d in "fb"} | {"b": np.zeros(3, np.float32)}
+
+    def states(window, d):
+        h, out = np.zeros(2), []
+        for byte in window:
+            a = h @ p[f"U{d}"] + p[f"W{d}"][byte]
+            z, c = np.clip(a[:2] / 4 + 0.5, 0, 1), np.clip(a[2:], -1, 1)
+            h = c + z * (h - c)
+            out.append(h)
+        return out
+
+    def reference(text):
+        size, rows = len(text), {}
+        text = text.ljust(langid.WINDOW)
+        for start in range(0, len(text), langid.WINDOW):
+            start = min(start, len(text) - langid.WINDOW)
+            w = text[start : start + langid.WINDOW]
+            for i, (f, g) in enumerate(zip(states(w, "f"), states(w[::-1], "b")[::-1], strict=True)):
+                s = np.exp(f @ p["Of"] + g @ p["Ob"] + p["b"])
+                rows.setdefault(start + i, s / s.sum())
+        return sum(rows[i] for i in range(size)) / max(1, size)
+
+    texts = [b"a", b"some words", bytes(range(32, 160)), b"x y " * 100, bytes(rng.integers(0, 256, 5000).astype(np.uint8))]
+    assert np.allclose(langid.probabilities(texts, p), [reference(t) for t in texts], atol=1e-5)
+
+
+@pytest.mark.parametrize("sf", ["sf0.01", "sf0.1"])
+def test_language_held_out(spark, sf):
+    got = langid.op8_language(spark, f"/root/testdata/{sf}").filter("held_out")
+    held = got.join(spark.read.parquet(f"/root/testdata/{sf}/documents.parquet").select("doc_id", "lang"), "doc_id").filter("lang IS NOT NULL")
+    assert held.agg(F.avg((F.col("lang") == F.col("lang_pred")).cast("int"))).first()[0] >= 0.98
+
+
 def test_language(spark, docs, odd, none):
     got = langid.language(docs).join(docs.select("doc_id", "lang"), "doc_id").collect()
     held = [r for r in got if r.held_out]
@@ -325,6 +381,12 @@ def test_url_filter(spark):
     assert got[5][2] is None and got[6][2] == "com/en/" and got[7][2] == "example.net/de/8" and got[8][2] == "net/de/" and got[9] == ("org", "", None, "allow")
     assert got[10] == got[11] == ("a.org", "/es/", "org/es/", "block")
     assert url_filter.judge(df.filter("false"), url_filter.rules_frame(spark, url_filter.RULES)).count() == 0
+    salted = url_filter.judge(df, url_filter.rules_frame(spark, url_filter.RULES), rule_bytes=0).collect()
+    assert {r.page_id: (r.host, r.path, r.rule, r.verdict) for r in salted} == got
+    none = url_filter.judge(df, url_filter.rules_frame(spark, url_filter.RULES).filter("false")).collect()
+    assert len(none) == len(urls) and all(r.rule is None and r.verdict == "allow" for r in none)
+    hot = spark.createDataFrame([(None, "http://a.com/en/" + "x" * 1_000_000), (None, "http://a.com/en/"), (1, None)] * 50, "page_id long, url string").withColumn("k", F.lit("clash")).withColumn("row", F.lit("clash"))
+    assert url_filter.judge(hot, url_filter.rules_frame(spark, url_filter.RULES)).filter("rule = 'com/en/'").count() == 100
 
 
 def test_pipeline(spark, tmp_path):
