@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from halyard.llm import bpe_automaton, langid, minhash, packing, quality, token_counts, token_files, topk, toxicity, url_filter
 
 SF = "/root/testdata/sf0.001"
-ODD = [(1, None, None), (2, "", "x"), (3, "  \n\t", None), (4, "one two", "en"), (4, "one two", "en"), (5, "word " * 3000, "en"), (None, "one two", "en"), (6, "<|endoftext|> it's \u00e9t\u00e9 \U0001f600 \x1c #|x", "fr")]
+ODD = [(1, None, None), (2, "", "x"), (3, "  \n\t", None), (4, "one two", "en"), (4, "one two", "en"), (5, "word " * 300_000 + "q" * 200_000, "en"), (None, "one two", "en"), (6, "<|endoftext|> it's \u00e9t\u00e9 \U0001f600 \x1c #|x", "fr")]
 
 
 @pytest.fixture(scope="module")
@@ -432,6 +432,34 @@ def test_pipeline_duplicates_by_row(spark):
     assert len({1, 2} & set(left)) == len({8, 9} & set(left)) == 1
 
 
+def test_pipeline_odd_rows(spark, docs, tmp_path):
+    """Every stage, and all in a row, on null, repeated, empty, clashing and very long rows."""
+    import corpus_pipeline as cp
+
+    good = docs.filter("length(text) > 400 AND lang = 'en'").orderBy("doc_id").select("text").first()[0]
+    rows = [(None, None), (None, good + " a b c"), (5, "you idiot moron, you scum"), (5, good), (5, good), (6, ""), (7, " \n"), (8, "12 34"), (9, (good + "\n") * 400), (None, "another text entirely, written here once only")]
+    extra = spark.createDataFrame([(i, t, "x", "y", "z", "w", "v") for i, t in rows], "doc_id long, text string, score string, found string, strange string, row string, id string")
+    df = docs.unionByName(extra, allowMissingColumns=True)
+    for _, stage in cp.STAGES[:3]:
+        got = stage(spark, df, SF)
+        assert got.columns == df.columns and {(r.score, r.found, r.strange, r.row, r.id) for r in got.collect()} <= {("x", "y", "z", "w", "v"), (None,) * 5}
+        assert stage(spark, df.filter("false"), SF).count() == 0
+
+    def left(stage):
+        return Counter((r.doc_id, r.text) for r in stage(spark, df, SF).filter("score = 'x'").collect())
+
+    all_of = Counter(rows)
+    assert left(cp.drop_toxic) == all_of - Counter([rows[2]])
+    assert left(cp.drop_unknown_language) == all_of - Counter([rows[i] for i in (0, 5, 6, 7)])
+    kept = left(cp.drop_near_duplicates)
+    assert kept[None, None] == kept[6, ""] == kept[7, " \n"] == kept[8, "12 34"] == kept[rows[2]] == kept[rows[9]] == 1 and kept[None, good + " a b c"] == 0 and kept[5, good] <= 1
+    assert cp.pack(spark, df, SF).count() == df.count()
+    (tmp_path / "sf").mkdir()
+    df.write.parquet(str(tmp_path / "sf" / "documents.parquet"))
+    spark.read.parquet(f"{SF}/labels.parquet").write.parquet(str(tmp_path / "sf" / "labels.parquet"))
+    assert 0 < cp.run(spark, str(tmp_path / "sf")).count() < df.count()
+
+
 def test_packing_true_lengths(spark):
     df = spark.createDataFrame([(i, "x" * n) for i, n in enumerate([1001, 999, 1001, 5, 70003])], "doc_id long, text string")
     rows = packing.pack(df, buckets=2).collect()
