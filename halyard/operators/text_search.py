@@ -3,6 +3,8 @@
 A query's words are few and bounded, so only their document frequencies are collected; everything per document stays distributed.
 """
 
+import hashlib
+import uuid
 from collections import Counter
 from collections.abc import Iterator
 
@@ -11,6 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from halyard.functions import text as T
+from halyard.sources.shared import shared_dir
 
 MAX_TOKEN_BYTES = 128
 
@@ -43,13 +46,47 @@ class InvertedIndex:
         self.postings = token_rows.groupBy(F.col("token").alias("term"), "doc").agg(F.count("*").alias("tf"))
         self.docs = docs.select("doc")
 
+    @staticmethod
+    def stored(spark: SparkSession, path: str, docs: DataFrame, token_rows: DataFrame | None) -> "InvertedIndex":
+        """The index kept under `path`, built there first if it is not: one pass over the texts; postings sorted by term, so that a
+        query reads the row groups of its words; documents with length and norm; terms with document frequency."""
+        ix = InvertedIndex.__new__(InvertedIndex)
+        hadoop = spark._jvm.org.apache.hadoop.fs.Path
+        fs = hadoop(path).getFileSystem(spark._jsc.hadoopConfiguration())
+        if not fs.exists(hadoop(path)):  # made under another name first, so that a half-made one is never read
+            draft = f"{path}-{uuid.uuid4().hex}"
+            made = InvertedIndex(docs, token_rows)
+            made.postings.repartitionByRange("term").sortWithinPartitions("term", "doc").write.parquet(f"{draft}/postings")
+            made.postings = spark.read.parquet(f"{draft}/postings")
+            made.terms().write.parquet(f"{draft}/terms")
+            made._terms = spark.read.parquet(f"{draft}/terms")
+            each = made.lengths().join(made.norms(), "doc")
+            made.docs.join(each, "doc", "left").fillna(0, ["dl"]).write.parquet(f"{draft}/docs")
+            fs.mkdirs(hadoop(path).getParent())
+            if fs.exists(hadoop(path)) or not fs.rename(hadoop(draft), hadoop(path)):  # another was first
+                fs.delete(hadoop(draft), True)
+        ix.postings, ix._terms = spark.read.parquet(f"{path}/postings"), spark.read.parquet(f"{path}/terms")
+        ix._docs = spark.read.parquet(f"{path}/docs")
+        ix.docs = ix._docs.select("doc")
+        return ix
+
+    _terms: DataFrame | None = None
+    _docs: DataFrame | None = None
+
     def terms(self) -> DataFrame:
+        if self._terms is not None:
+            return self._terms
         return self.postings.groupBy("term").agg(F.count("*").alias("df"))
 
     def lengths(self) -> DataFrame:
+        if self._docs is not None:
+            return self._docs.filter("dl > 0").select("doc", "dl")
         return self.postings.groupBy("doc").agg(F.sum("tf").alias("dl"))
 
     def totals(self) -> tuple[int, float]:
+        if self._docs is not None:
+            r = self._docs.agg(F.count("*").alias("n"), F.sum("dl").alias("dl")).first()
+            return r.n, (r.dl or 0) / r.n if r.n else 0.0
         n, length = self.docs.count(), self.postings.agg(F.sum("tf")).first()[0] or 0
         return n, length / n if n else 0.0
 
@@ -58,8 +95,10 @@ class InvertedIndex:
         return d.crossJoin(self.postings.agg(F.countDistinct("term").alias("terms"), F.count("*").alias("postings"), F.coalesce(F.sum("tf"), F.lit(0)).alias("tokens"))).withColumn("avgdl", F.expr("tokens / documents"))  # two single rows
 
     def _query(self, words: list[str]) -> tuple[DataFrame, dict[str, int]]:
-        hits = self.postings.filter(F.col("term").isin(sorted(set(words))))
-        return hits, {r.term: r.df for r in hits.groupBy("term").agg(F.count("*").alias("df")).collect()}
+        asked = F.col("term").isin(sorted(set(words)))
+        hits = self.postings.filter(asked)
+        df = self._terms.filter(asked) if self._terms is not None else hits.groupBy("term").agg(F.count("*").alias("df"))
+        return hits, {r.term: r.df for r in df.collect()}
 
     def bm25(self, words: list[str], k: int | None = 10, k1: float = 1.2, b: float = 0.75) -> DataFrame:
         """(doc, score) of the k best documents for the distinct words, ties to the smaller key."""
@@ -71,6 +110,8 @@ class InvertedIndex:
         return _top(hits.groupBy("doc").agg(F.sum(part).alias("score")), k)
 
     def norms(self) -> DataFrame:
+        if self._docs is not None:
+            return self._docs.select("doc", "norm")
         n = self.docs.count()
         w = self.postings.join(self.terms(), "term").withColumn("w", F.expr(f"(1 + ln(tf)) * ln({n}D / df)"))
         return w.groupBy("doc").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
@@ -101,9 +142,23 @@ def _top(scored: DataFrame, k: int | None) -> DataFrame:
     return out if k is None else out.orderBy(F.desc("score"), "doc").limit(k)
 
 
-def index(df: DataFrame, text: str, key: str, analyser: str = "spanish", **options) -> InvertedIndex:
+def index(df: DataFrame, text: str, key: str, analyser: str = "spanish", path: str | None = None, **options) -> InvertedIndex:
+    """An index of the rows' texts, stored under `path` if that is given; a stored one is taken as it is."""
     rows = analyse(df, text, key, **options) if analyser == "spanish" else tokens(df, text, key, T.ranker_tokens if analyser == "words" else T.match_tokens)
-    return InvertedIndex(df.select(F.col(key).alias("doc")), rows)
+    docs = df.select(F.col(key).alias("doc"))
+    return InvertedIndex.stored(df.sparkSession, path, docs, rows) if path else InvertedIndex(docs, rows)
+
+
+def file_index(df: DataFrame, text: str, key: str, analyser: str = "spanish", **options) -> InvertedIndex:
+    """The index of a table read from files, stored in the shared folder under a name made of those files, their sizes and times, so
+    that it is built once a version of the files and never read for another."""
+    spark = df.sparkSession
+    hadoop, files = spark._jvm.org.apache.hadoop.fs.Path, []
+    for name in sorted(df.inputFiles()):
+        s = hadoop(name).getFileSystem(spark._jsc.hadoopConfiguration()).getFileStatus(hadoop(name))
+        files.append((name, s.getLen(), s.getModificationTime()))
+    name = hashlib.sha256(repr((files, text, key, analyser, sorted(options.items()))).encode()).hexdigest()[:32]
+    return index(df, text, key, analyser, f"{shared_dir(spark)}/halyard-text-{name}", **options)
 
 
 def analyse_query(query: str, stopwords: list[str] | None = None) -> list[str]:
@@ -146,24 +201,26 @@ def search_methods(df: DataFrame, text: str, key: str, query: str, k: int = 10,
 
     k = min(200, max(1, k))
     words = analyse_query(query, stopwords)
-    ix = index(df, text, key, stopwords=stopwords, max_bytes=MAX_TOKEN_BYTES)
+    ix = (file_index if df.inputFiles() else index)(df, text, key, stopwords=stopwords, max_bytes=MAX_TOKEN_BYTES)
     both = ix.bm25(words, k, k1, b).withColumn("method", F.lit("bm25")).unionByName(ix.cosine(words, k).withColumn("method", F.lit("tf-idf")))
     seen = ix.postings.filter(F.col("term").isin(sorted(set(words)))).groupBy("doc").agg(F.sort_array(F.collect_set("term")).alias("matched"))  # at most the query's words
     rank = F.row_number().over(Window.partitionBy("method").orderBy(F.desc("score"), "doc"))
     return both.join(seen, "doc").withColumn("rank", rank).select("method", "rank", "doc", "score", "matched")
 
 
-def bm25_batch(df: DataFrame, text: str, key: str, queries: DataFrame, k: int = 10, tokenizer=T.match_tokens, k1: float = 1.2, b: float = 0.75) -> DataFrame:
-    """Many queries in one job: (query_id, rank, doc, score). queries: query_id, text. Postings of query words only are shuffled."""
+def bm25_batch(ix: InvertedIndex, queries: DataFrame, k: int = 10, tokenizer=T.match_tokens, k1: float = 1.2, b: float = 0.75) -> DataFrame:
+    """Many queries in one job: (query_id, rank, doc, score). queries: query_id, text.
+
+    Only postings of query words are read on; a word that many queries hold, or many documents, is a join key that Spark splits.
+    The best k of each query are picked in each partition before they meet.
+    """
     from pyspark.sql import Window
 
-    ix = InvertedIndex(df.select(F.col(key).alias("doc")), tokens(df, text, key, tokenizer))
     q = tokens(queries, "text", "query_id", tokenizer).distinct().withColumnsRenamed({"doc": "query_id", "token": "term"})
     n, avgdl = ix.totals()
-    hits = ix.postings.join(q.select("term").distinct(), "term", "left_semi")
-    stats = hits.groupBy("term").agg(F.count("*").alias("df"))
+    asked = q.select("term").distinct().join(ix.terms(), "term")
     part = F.expr(f"ln(1 + ({n} - df + 0.5D) / (df + 0.5D)) * tf * {k1 + 1} / (tf + {k1} * (1 - {b} + {b} * dl / {avgdl or 1.0!r}D))")
-    weighted = hits.join(stats, "term").join(ix.lengths(), "doc").select("term", "doc", part.alias("s"))
+    weighted = ix.postings.join(asked, "term").join(ix.lengths(), "doc").select("term", "doc", part.alias("s"))
     scored = weighted.join(q, "term").groupBy("query_id", "doc").agg(F.sum("s").alias("score"))
     w = Window.partitionBy("query_id").orderBy(F.desc(F.round("score", 9)), "doc")
     return scored.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k).select("query_id", "rank", "doc", "score")

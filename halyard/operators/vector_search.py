@@ -2,6 +2,7 @@
 
 import math
 
+import pandas as pd
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.functions import array_to_vector
 from pyspark.sql import DataFrame, Window
@@ -19,20 +20,33 @@ def nearest(df: DataFrame, query, k: int, metric: str = "cosine", vec: str = "em
     return df.filter(f"{vec} IS NOT NULL").withColumn("distance", F.expr(V.distance(vec, _array(query), metric))).orderBy("distance", key).limit(k)
 
 
+#: Rows of a query block that every row meets at a time.
+QUERY_BLOCK = 512
+
+
 def nearest_join(df: DataFrame, queries: DataFrame, k: int, metric: str = "cosine", vec: str = "embedding", key: str = "vec_id", digits: int = 9, skip_self: bool = False) -> DataFrame:
     """(query_id, rank, key, distance) for a stated query set against all rows, or all but the query's own. queries: query_id, q.
 
-    Spark broadcasts the query side only while it is below its size threshold, else it pairs partitions.
+    Queries are dealt into blocks; each row meets the queries block by block through an equi-join on the block's number, so neither side
+    is broadcast for its own sake and a large query set only means more blocks.
     """
-    pairs = df.select(key, vec).filter(f"{vec} IS NOT NULL").crossJoin(queries.select("query_id", "q"))
+    asked = queries.select("query_id", "q")
+    blocks = max(1, -(-asked.count() // QUERY_BLOCK))
+    asked = asked.withColumn("block", F.pmod(F.xxhash64("query_id"), F.lit(blocks)))
+    rows = df.select(key, vec).filter(f"{vec} IS NOT NULL").withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)).cast("array<bigint>")))
+    pairs = rows.join(F.broadcast(asked) if blocks == 1 else asked, "block")  # one block is bounded
     pairs = pairs.filter(F.col(key) != F.col("query_id")) if skip_self else pairs
     d = pairs.select("query_id", key, F.round(F.expr(V.distance(vec, "q", metric)), digits).alias("distance"))
     w = Window.partitionBy("query_id").orderBy("distance", key)
     return d.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
 
 
+#: Rows per list, at most about, that the cells are fitted on; every row is put into a list.
+SAMPLE = 256
+
+
 class IVF:
-    """Inverted lists: k-means cells, rows tagged with `list_id`, queries read only the probed lists."""
+    """Inverted lists: k-means cells fitted on a bounded sample, all rows tagged with `list_id`, queries read only the probed lists."""
 
     def __init__(self, df: DataFrame, nlist: int | None = None, metric: str = "cosine", vec: str = "embedding", key: str = "vec_id", seed: int = 1):
         self.metric, self.vec, self.key = V.metric_name(metric), vec, key
@@ -41,15 +55,39 @@ class IVF:
         rows = df.filter(f"{vec} IS NOT NULL")
         n = rows.count()
         self.nlist = min(max(2, nlist or math.isqrt(n)), 4096)
-        if self.metric == "cosine":  # a zero vector has no direction; it goes to list -1, which every query reads
-            train = rows.filter(f"{V.norm(vec)} > 0")
-        else:
-            train = rows
-        train = train.withColumn("__f", array_to_vector(F.col(vec).cast("array<double>")))
+        train = rows.filter(f"{V.norm(vec)} > 0") if self.metric == "cosine" else rows
+        share = min(1.0, SAMPLE * self.nlist / max(1, n))
+        train = train.filter(F.pmod(F.xxhash64(F.lit(seed), key), F.lit(2**30)) < int(share * 2**30)).withColumn("__f", array_to_vector(F.col(vec).cast("array<double>")))
         model = KMeans(k=self.nlist, seed=seed, maxIter=100, tol=1e-4, featuresCol="__f", predictionCol="list_id", distanceMeasure=self.metric).fit(train)
         self.centroids = [c.tolist() for c in model.clusterCenters()]  # at most 4096
-        tagged = model.transform(train).drop("__f")
-        self.lists = tagged if self.metric != "cosine" else tagged.unionByName(rows.filter(f"{V.norm(vec)} = 0").withColumn("list_id", F.lit(-1)))
+        self.lists = self.assigned(rows)
+
+    @staticmethod
+    def with_centroids(centroids: list, metric: str, vec: str, key: str) -> "IVF":
+        ivf = IVF.__new__(IVF)
+        ivf.metric, ivf.vec, ivf.key, ivf.centroids, ivf.nlist = V.metric_name(metric), vec, key, centroids, len(centroids)
+        return ivf
+
+    def assigned(self, rows: DataFrame) -> DataFrame:
+        """Rows with the list_id of their nearest centroid. A zero vector has no direction; for the cosine it goes to list -1, which
+        every query reads, and so does a null."""
+        import numpy as np
+
+        c = np.array(self.centroids)
+        cosine = self.metric == "cosine"
+        if cosine:
+            c = c / np.maximum(np.linalg.norm(c, axis=1), 1e-300)[:, None]
+        half = np.zeros(len(c)) if cosine else (c * c).sum(1) / 2
+
+        def nearest_list(v: pd.Series) -> pd.Series:
+            out = np.full(len(v), -1, np.int32)
+            some = [i for i, x in enumerate(v) if x is not None and (not cosine or np.any(x))]
+            if some:
+                out[some] = (np.stack([v[i] for i in some]).astype(np.float64) @ c.T - half).argmax(1)
+            return pd.Series(out)
+
+        nearest_list.__annotations__ = {"v": pd.Series, "return": pd.Series}
+        return rows.withColumn("list_id", F.pandas_udf(nearest_list, "int")(F.col(self.vec)))
 
     def save(self, path: str) -> "IVF":
         """Lists as Parquet partitions, so that a probe prunes at planning time."""
@@ -122,9 +160,15 @@ def identify(df: DataFrame, queries: DataFrame, threshold: float = 0.70, vec: st
 def scale_up(df: DataFrame, n: int, seed: int = 1, vec: str = "embedding", key: str = "vec_id") -> DataFrame:
     """The real rows first, then seeded bootstrap rows up to n: noisy positive components, clamped at 0, L2-normalised."""
     spark, have = df.sparkSession, df.count()
-    base = df.select(key, F.col(vec).cast("array<double>").alias("__v")).withColumn("__i", F.row_number().over(Window.orderBy(key)) - 1)  # a small seed set
-    extra = spark.range(have, max(have, n)).withColumn("__i", F.expr(f"pmod(xxhash64(id, {seed}), {max(1, have)})").cast("int"))
+    cast = df.select(key, F.col(vec).cast("array<float>").alias(vec))
+    if not have or n <= have:
+        return cast
+    # row numbers without one task for all: places inside range partitions, plus the sizes of those before
+    cut = df.select(key, F.col(vec).cast("array<double>").alias("__v")).repartitionByRange(key).sortWithinPartitions(key).withColumn("__p", F.spark_partition_id()).withColumn("__o", F.monotonically_increasing_id())
+    before = cut.groupBy("__p").agg(F.count("*").alias("__n"), F.min("__o").alias("__first")).withColumn("__before", F.expr("sum(__n) OVER (ORDER BY __p) - __n"))  # one row per partition
+    base = cut.join(before, "__p").withColumn("__i", F.expr("CAST(__before + __o - __first AS BIGINT)")).select("__i", "__v")
+    extra = spark.range(have, n).withColumn("__i", F.expr(f"pmod(xxhash64(id, {seed}), {have})"))
     noisy = F.expr(f"transform(__v, (x, i) -> greatest(0D, CASE WHEN x > 0 THEN x * (1 + 0.03D * sqrt(-2 * ln((pmod(xxhash64(id, i, {seed}, 1), 1000003) + 1) / 1000004D)) * cos(2 * pi() * pmod(xxhash64(id, i, {seed}, 2), 1000003) / 1000003D)) ELSE x END))")
-    made = extra.join(base.drop(key), "__i").withColumn("__v", noisy).withColumn("__n", F.expr(V.norm("__v")))
+    made = extra.join(base, "__i").withColumn("__v", noisy).withColumn("__n", F.expr(V.norm("__v")))
     made = made.select(F.col("id").alias(key), F.expr("transform(__v, x -> CAST(x / nullif(__n, 0D) AS FLOAT))").alias(vec))
-    return df.select(key, F.col(vec).cast("array<float>").alias(vec)).unionByName(made)
+    return cast.unionByName(made)

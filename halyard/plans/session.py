@@ -6,6 +6,7 @@ the client runs its transaction again.
 """
 
 import copy
+import hashlib
 import time
 import uuid
 from dataclasses import dataclass, field
@@ -14,7 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from halyard.functions import scalar, spatial, vector
-from halyard.operators import text_search
+from halyard.operators import text_search, vector_search
 from halyard.plans import compiler
 from halyard.plans.catalog import Column, Index, Store, Table, make_column
 from halyard.plans.parser import Select, SqlError, parse
@@ -146,7 +147,7 @@ class Session:
         return result
 
     def _commit(self, base: int, draft: dict[str, Table], names: set) -> None:
-        while not self.store.commit(base + 1, draft):
+        while not self.store.commit(base, draft):
             before, base = self.store.read(base), self.store.latest()
             now = self.store.read(base)
             if any(before.get(n) != now.get(n) for n in names):
@@ -258,9 +259,7 @@ class Session:
             del tables[name.lower()]
             return Result(message=f"table {name} dropped"), {name.lower()}
 
-        out = self._write(change)
-        self.store.remove(name)
-        return out
+        return self._write(change)  # its folders stay for readers of older snapshots, until vacuum
 
     def _create_index(self, tables, name, table, kind, column, options, unique, exists):
         t = self._table(table, tables)
@@ -278,11 +277,72 @@ class Session:
             raise SqlError("IVF does not take the dot product")
         if unique:
             self._check_unique(self.store.frame(t), [[c.name]])
-        t.indexes.append(Index(name, kind, c.name, options, unique))
+        ix = Index(name, kind, c.name, options, unique)
+        t.indexes.append(ix)
         if unique:
             t.uniques.append([c.name])
+        if kind == "ivf":
+            self._fit_lists(t, ix)
+        elif kind in ("btree", "hash") and t.folders and not t.clustered:
+            t.folders = [self.store.write(t, self.store.frame(t))]  # laid out by the index
+            self._keep_lists(t)
         return Result(message=f"index {name} created"), {table.lower()}
 
+    def _fit_lists(self, t: Table, ix: Index) -> None:
+        """Cells of an IVF index, once the table has as many rows as lists; until then a search reads all rows."""
+        df = self.store.frame(t).filter(F.col(f"`{ix.column}`").isNotNull())
+        n = df.count()
+        asked = ix.options.get("nlist")
+        if n < max(2, int(asked or 2)) or len(t.key) != 1:
+            return
+        ivf = vector_search.IVF(df, int(asked) if asked else None, str(ix.options.get("metric", "euclidean")), ix.column, t.key[0])
+        ix.centroids, ix.parts = ivf.centroids, {}
+        self._keep_lists(t)
+
+    def _keep_lists(self, t: Table) -> None:
+        """Rows by list for every folder of the table that an IVF index does not have yet."""
+        for ix in t.indexes:
+            if ix.kind != "ivf":
+                continue
+            if not ix.centroids:
+                if t.folders and self.store.frame(t).limit(int(ix.options.get("nlist") or 2)).count() >= int(ix.options.get("nlist") or 2):
+                    self._fit_lists(t, ix)
+                continue
+            ivf = vector_search.IVF.with_centroids(ix.centroids, str(ix.options.get("metric", "euclidean")), ix.column, t.key[0])
+            ix.parts = {f: p for f, p in ix.parts.items() if f in t.folders}
+            for folder in t.folders:
+                if folder not in ix.parts:
+                    part = f"{self.store.path}/{t.name}/{uuid.uuid4().hex}"
+                    rows = self.spark.read.schema(t.schema).parquet(folder)
+                    ivf.assigned(rows).repartition("list_id").write.partitionBy("list_id").parquet(part)
+                    ix.parts[folder] = part
+
+    def _probed(self, q: Select, t: Table) -> DataFrame | None:
+        """Only the nearest lists' rows, for ORDER BY vector_distance(column, constant) LIMIT k without WHERE on an IVF index."""
+        if q.joins or q.where is not None or q.group or q.having is not None or q.distinct or compiler.knn_metric(q, t) is None:
+            return None
+        args = q.order[0][2]
+        ix = next((i for i in t.indexes if i.kind == "ivf" and i.column.lower() == args[0][2].lower()), None)
+        limit = compiler.whole_number(q.limit, "LIMIT") + (compiler.whole_number(q.offset, "OFFSET") or 0)
+        if ix is None or not ix.centroids or set(ix.parts) != set(t.folders) or not compiler.is_constant(args[1]):
+            return None
+        query = self.spark.sql(f"SELECT {compiler.as_vector(args[1], compiler.Scope([]))} AS v").first().v
+        if query is None:
+            return None
+        ivf = vector_search.IVF.with_centroids(ix.centroids, str(ix.options.get("metric", "euclidean")), ix.column, t.key[0])
+        wanted = max(1, int(ix.options.get("nprobe") or round(ivf.nlist / 4)))
+        names = [F.col(f"`{c.name}`") for c in t.columns]
+        every = [self.spark.read.schema(t.schema.add("list_id", "int")).parquet(p) for p in ix.parts.values()]
+        while True:  # short lists may hold fewer rows than asked for
+            lists = [-1, *ivf.probes(query, wanted)]
+            some = [e.filter(F.col("list_id").isin(lists)).select(*names) for e in every]
+            out = some[0]
+            for s in some[1:]:
+                out = out.unionByName(s)
+            if wanted >= ivf.nlist or out.limit(limit).count() >= limit:
+                return out
+            wanted *= 2
+
     def _drop_index(self, tables, name, table, exists):
         owners = [t for t in tables.values() if (table is None or t.name.lower() == table.lower()) and any(i.name.lower() == name.lower() for i in t.indexes)]
         if not owners:
@@ -301,13 +361,13 @@ class Session:
     # rows
     def _values(self, t: Table, cols: list[str] | None, rows: list[list]) -> DataFrame:
         names = [t.column(c).name for c in cols] if cols else [c.name for c in t.columns]
-        out = []
+        out, scope = [], compiler.Scope([])
         for row in rows:
             if len(row) != len(names):
                 raise SqlError(f"{len(names)} values expected, {len(row)} given")
             by = dict(zip(names, row, strict=True))
-            out.append("SELECT " + ", ".join(f"{self._coerced(c, by.get(c.name, ('lit', None, 'null')), compiler.Scope([]))} AS `{c.name}`" for c in t.columns))
-        return self.spark.sql(" UNION ALL ".join(out))
+            out.append("struct(" + ", ".join(f"{self._coerced(c, by.get(c.name, ('lit', None, 'null')), scope)} AS `{c.name}`" for c in t.columns) + ")")
+        return self.spark.sql(f"SELECT inline(array({', '.join(out)}))")  # one relation, however many rows
 
     def _coerced(self, c: Column, e: tuple, scope) -> str:
         text, kind = compiler.sql(e, scope)
@@ -351,6 +411,7 @@ class Session:
                 if fresh.join(self.store.frame(t).select(*cols), cols, "left_semi").limit(1).count():
                     raise Duplicate(f"duplicate value in ({', '.join(cols)})")
         t.folders.append(folder)
+        self._keep_lists(t)
         return Result(affected=fresh.count()), {name.lower()}
 
     def _scope(self, t: Table) -> tuple[compiler.Scope, DataFrame]:
@@ -372,6 +433,7 @@ class Session:
         changed = {t.column(c).name for c, _ in sets}
         self._check_unique(self.spark.read.schema(t.schema).parquet(folder), [g for g in [t.key, *t.uniques] if changed & set(g)])
         t.folders = [folder]
+        self._keep_lists(t)
         return Result(affected=affected), {name.lower()}
 
     def _delete(self, tables, name: str, where):
@@ -385,6 +447,7 @@ class Session:
         n = df.filter(cond).count()
         if n:
             t.folders = [self.store.write(t, df.filter(~cond))]
+            self._keep_lists(t)
         return Result(affected=n), {name.lower()}
 
     # queries
@@ -403,9 +466,13 @@ class Session:
         views = []
 
         def lookup(name):
-            out = self._lookup(name)
-            views.append(out[1])
-            return out
+            t, view, df = self._lookup(name)
+            near = self._probed(q, t)
+            if near is not None:
+                df = near
+                df.createOrReplaceTempView(view)
+            views.append(view)
+            return t, view, df
 
         try:
             return self.spark.sql(compiler.select(q, lookup))  # analysed here, so the views can go
@@ -422,7 +489,9 @@ class Session:
         if len(t.key) != 1:
             raise SqlError("ranked search needs a key of one column")
         key, col = t.key[0], t.column(w[2][0][2]).name
-        ix = text_search.index(df, col, key)
+        # kept for this state of the table: built at the first search after a change
+        state = hashlib.sha256(repr((t.folders, col, key)).encode()).hexdigest()[:32]
+        ix = text_search.index(df, col, key, path=f"{self.store.path}/_text/{state}")
         words = text_search.analyse_query(w[2][1][1])
         method = {"bm25": ix.bm25, "tf_idf": ix.cosine, "tfidf": ix.cosine}.get(q.ranking)
         if not method:

@@ -272,7 +272,7 @@ SELECT query_id, rank, doc, round(score, 6) AS score FROM (SELECT *, row_number(
 @query("text_bm25_batch", _BATCH)
 def _(spark, sf):
     q = table(spark, sf, "benchmark").select(F.col("item_id").alias("query_id"), "text")
-    out = text_search.bm25_batch(table(spark, sf, "documents"), "text", "doc_id", q)
+    out = text_search.bm25_batch(text_search.file_index(table(spark, sf, "documents"), "text", "doc_id", "match"), q)
     return out.select("query_id", F.col("rank").cast("long").alias("rank"), "doc", F.round("score", 6).alias("score"))
 
 
@@ -284,13 +284,13 @@ SELECT doc, round(least(1, greatest(0, sum(w * qw) / (any_value(norm) * any_valu
 
 @query("text_cosine", _COS)
 def _(spark, sf):
-    ix = text_search.index(table(spark, sf, "documents"), "text", "doc_id", "match")
+    ix = text_search.file_index(table(spark, sf, "documents"), "text", "doc_id", "match")
     return ix.cosine(["idiot", "licensed", "worthless", "nation"], None).select("doc", F.round("score", 9).alias("score"))
 
 
 @query("text_index_statistics", f"SELECT (SELECT count(*) FROM documents) AS documents, count(DISTINCT term) AS terms, count(*) AS postings, CAST(sum(tf) AS BIGINT) AS tokens, round(sum(tf) / (SELECT count(*) FROM documents), 6) AS avgdl FROM ({_POST})")
 def _(spark, sf):
-    return text_search.index(table(spark, sf, "documents"), "text", "doc_id", "match").statistics().withColumn("avgdl", F.round("avgdl", 6))
+    return text_search.file_index(table(spark, sf, "documents"), "text", "doc_id", "match").statistics().withColumn("avgdl", F.round("avgdl", 6))
 
 
 @query("text_ranked_spanish")

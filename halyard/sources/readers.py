@@ -30,7 +30,9 @@ def read_csv(spark: SparkSession, path: str, columns: list[tuple[str, str]]) ->
     """
     n = len(columns)
     wide = T.StructType([T.StructField(f"c{i}", T.StringType()) for i in range(n)] + [T.StructField("_row", T.StringType())])
-    raw = spark.read.schema(wide).option("header", True).option("enforceSchema", True).option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", "_row").csv(path)
+    # no text stands for null, so an empty cell is an empty text and only a field that is not there is null
+    options = {"header": True, "enforceSchema": True, "mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_row", "nullValue": "\u0000", "emptyValue": ""}
+    raw = spark.read.schema(wide).options(**options).csv(path)
     cells = {f"__{c}": F.expr(_cast(f"c{i}", kind)) for i, (c, kind) in enumerate(columns)}
     typed = raw.withColumns(cells)
     missing = " OR ".join(f"c{i} IS NULL" for i in range(n))
@@ -42,11 +44,15 @@ def read_csv(spark: SparkSession, path: str, columns: list[tuple[str, str]]) ->
 
 
 def read_jsonl(spark: SparkSession, path: str) -> DataFrame:
-    """(id, text) rows; a missing id becomes a generated one, a repeated id raises an error when read."""
+    """(id, text) rows; a repeated id raises an error when read. A missing id becomes one made of the file's name, the text and, among
+    equal texts of a file, a number, so it does not change with the split of the files."""
     from pyspark.sql import Window
 
-    df = spark.read.schema("id string, text string").json(path)
-    df = df.withColumn("id", F.coalesce("id", F.concat(F.lit("row-"), F.monotonically_increasing_id())))
+    df = spark.read.schema("id string, text string").json(path).withColumn("__file", F.element_at(F.split(F.input_file_name(), "/"), -1))
+    made = F.concat(F.lit("row-"), F.lower(F.hex(F.xxhash64("__file", "text"))))
+    same = F.row_number().over(Window.partitionBy("__file", "text", "id").orderBy(F.lit(0)))
+    named, rest = df.filter("id IS NOT NULL").drop("__file"), df.filter("id IS NULL")
+    df = named.unionByName(rest.withColumn("id", F.concat(made, F.lit("-"), same)).drop("__file"))
     n = F.count("*").over(Window.partitionBy("id"))
     return df.withColumn("id", F.when(n > 1, F.raise_error(F.concat(F.lit("duplicate id "), "id"))).otherwise(F.col("id")))
 
