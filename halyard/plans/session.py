@@ -13,6 +13,7 @@ from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType
 
 from halyard.functions import scalar, spatial, vector
 from halyard.operators import text_search, vector_search
@@ -332,7 +333,7 @@ class Session:
         ivf = vector_search.IVF.with_centroids(ix.centroids, str(ix.options.get("metric", "euclidean")), ix.column, t.key[0])
         wanted = max(1, int(ix.options.get("nprobe") or round(ivf.nlist / 4)))
         names = [F.col(f"`{c.name}`") for c in t.columns]
-        every = [self.spark.read.schema(t.schema.add("list_id", "int")).parquet(p) for p in ix.parts.values()]
+        every = [self.spark.read.schema(t.schema.add("list_id", IntegerType())).parquet(p) for p in ix.parts.values()]
         while True:  # short lists may hold fewer rows than asked for
             lists = [-1, *ivf.probes(query, wanted)]
             some = [e.filter(F.col("list_id").isin(lists)).select(*names) for e in every]
