@@ -30,12 +30,12 @@ def read_csv(spark: SparkSession, path: str, columns: list[tuple[str, str]]) ->
     """
     n = len(columns)
     wide = T.StructType([T.StructField(f"c{i}", T.StringType()) for i in range(n)] + [T.StructField("_row", T.StringType())])
-    # no text stands for null, so an empty cell is an empty text and only a field that is not there is null
-    options = {"header": True, "enforceSchema": True, "mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_row", "nullValue": "\u0000", "emptyValue": ""}
-    raw = spark.read.schema(wide).options(**options).csv(path)
-    cells = {f"__{c}": F.expr(_cast(f"c{i}", kind)) for i, (c, kind) in enumerate(columns)}
-    typed = raw.withColumns(cells)
-    missing = " OR ".join(f"c{i} IS NULL" for i in range(n))
+    raw = spark.read.schema(wide).option("header", True).option("enforceSchema", True).option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", "_row").csv(path)
+    # an empty cell is an empty text; a row of another number of fields comes with its text, in which the fields are counted
+    typed = raw.withColumns({f"c{i}": F.coalesce(f"c{i}", F.lit("")) for i in range(n)})
+    typed = typed.withColumns({f"__{c}": F.expr(_cast(f"c{i}", kind)) for i, (c, kind) in enumerate(columns)})
+    bare = "regexp_replace(_row, '\"([^\"]|\"\")*\"', '')"
+    missing = f"_row IS NOT NULL AND length({bare}) - length(replace({bare}, ',', '')) < {n - 1}"
     wrong = F.array_compact(F.array(*[F.when(F.col(f"__{c}").isNull(), F.lit(c)) for c, _ in columns]))
     typed = typed.withColumn("_error", F.when(F.expr(missing), F.lit("too few fields")).when(F.size(wrong) > 0, F.concat(F.lit("bad value in "), F.array_join(wrong, ", "))))
     good = typed.filter("_error IS NULL").select(*[F.col(f"__{c}").alias(c) for c, _ in columns])
