@@ -21,6 +21,7 @@ import math
 import re
 import unicodedata
 from collections import Counter, defaultdict
+from collections.abc import Iterator
 
 import ahocorasick
 import numpy as np
@@ -32,7 +33,7 @@ from halyard.llm import shingles
 from halyard.llm.common import fold, read, small_batches, tidy
 
 MAX_CLASS = 4000
-MAX_BYTES = 12 << 20
+MAX_BYTES = 8 << 20
 #: A pattern needs so many toxic texts, copies counted once, and that share of them.
 MIN_DOCS, MIN_SHARE = 3, 0.01
 MIN_STEM, MAX_STEM, MIN_FORMS = 4, 7, 3
@@ -99,47 +100,78 @@ def _tail(k: int, n: int, p: float) -> float:
     return sum(map(math.exp, logs))
 
 
-def _lexicon(rows: list[tuple[list[str], int, int]]) -> tuple[dict[str, float], list[str]]:
-    """({pattern: weight}, exception phrases) from (folded words, toxic, group) rows; a group counts once in each class."""
-    words: dict[str, tuple[set, set]] = defaultdict(lambda: (set(), set()))
-    stems: dict[str, tuple[set, set]] = defaultdict(lambda: (set(), set()))
-    forms: dict[str, set] = defaultdict(set)
-    n = [len({g for _, y, g in rows if y == k}) for k in (0, 1)]
-    for ws, y, g in rows:
-        for w in set(ws):
-            words[w][y].add(g)
-            for k in range(MIN_STEM, min(MAX_STEM, len(w) - 1) + 1):
-                stems[w[:k]][y].add(g)
-                if y:
-                    forms[w[:k]].add(w)
-    chance = n[1] / (n[0] + n[1])
-    tried = sum(len(a) + len(b) >= MIN_DOCS for c in (words, stems) for a, b in c.values())
-
-    def odds(c: tuple[set, set]) -> float:
-        return math.log((len(c[1]) + 0.1) / (n[1] + 0.2)) - math.log((len(c[0]) + 0.1) / (n[0] + 0.2))
-
-    def strong(c: tuple[set, set]) -> bool:
-        a, b = len(c[0]), len(c[1])
-        return b >= max(MIN_DOCS, MIN_SHARE * n[1]) and odds(c) >= MIN_LOG_ODDS and b * n[0] >= 20 * a * n[1] and _tail(b, a + b, chance) * tried < ALPHA
+def _patterns(words: set[str]) -> Iterator[str]:
+    """The words, each with a space after it, and their beginnings."""
+    for w in words:
+        yield w + " "
+        for k in range(MIN_STEM, min(MAX_STEM, len(w) - 1) + 1):
+            yield w[:k]
+
+
+def _counts(rows: list[tuple[list[str], int, int, int]]) -> tuple[list[list[Counter]], list[list[int]]]:
+    """Per fold and class, the number of groups that hold a pattern, and of all groups, from (words, toxic, group, fold) rows.
 
+    Toxic texts are counted first and clean ones only for what enough toxic ones hold, which bounds the memory.
+    """
+    held: dict[tuple[int, int, int], list] = {}
+    for ws, y, g, f in rows:
+        held.setdefault((y, f, g), []).append(ws)
+    counts, sizes = [[Counter(), Counter()] for _ in range(FOLDS)], [[0, 0] for _ in range(FOLDS)]
+    known: Counter = Counter()
+    for y in (1, 0):
+        for (k, f, _), parts in held.items():
+            if k == y:
+                found = _patterns({w for ws in parts for w in ws})
+                counts[f][y].update(set(found) if y else {x for x in found if known[x] >= MIN_DOCS})
+                sizes[f][y] += 1
+        if y:
+            for c in counts:
+                known.update(c[1])
+    return counts, sizes
+
+
+def _lexicon(counts: list[list[Counter]], sizes: list[list[int]], toxic_words: set[str]) -> dict[str, float]:
+    """{pattern: weight} from the counts of some folds."""
+    n = [sum(s[y] for s in sizes) for y in (0, 1)]
+    clean, toxic = Counter(), Counter()
+    for c in counts:
+        clean.update(c[0])
+        toxic.update(c[1])
+    chance, tried = n[1] / (n[0] + n[1]), sum(b > 1 for b in toxic.values())
+
+    def odds(x: str) -> float:
+        return math.log((toxic[x] + 0.1) / (n[1] + 0.2)) - math.log((clean[x] + 0.1) / (n[0] + 0.2))
+
+    often = {x: b for x, b in toxic.items() if b >= max(MIN_DOCS, MIN_SHARE * n[1])}
+    strong = {x for x, b in often.items() if odds(x) >= MIN_LOG_ODDS and b * n[0] >= 20 * clean[x] * n[1] and _tail(b, clean[x] + b, chance) * tried < ALPHA}
+    forms: dict[str, set] = defaultdict(set)
+    for w in toxic_words:
+        for k in range(MIN_STEM, min(MAX_STEM, len(w) - 1) + 1):
+            if w[:k] in strong:
+                forms[w[:k]].add(w)
     lexicon: dict[str, float] = {}
-    for s in sorted((s for s, c in stems.items() if len(forms[s]) >= MIN_FORMS and strong(c)), key=lambda s: (len(s), s)):
+    for s in sorted((s for s in strong if len(forms.get(s, ())) >= MIN_FORMS), key=lambda s: (len(s), s)):
         if not any(f" {s[:k]}" in lexicon for k in range(MIN_STEM, len(s))):
-            lexicon[f" {s}"] = odds(stems[s])
-    for w, c in sorted(words.items()):
-        if strong(c) and not any(f" {w[:k]}" in lexicon for k in range(MIN_STEM, len(w) + 1)):
-            lexicon[f" {w} "] = odds(c)
-    lexicon |= {p: MIN_LOG_ODDS for w in WORDS if (p := f" {folded(w).strip()} ") not in lexicon and not any(p.startswith(q) for q in lexicon)}
+            lexicon[f" {s}"] = odds(s)
+    for w in sorted(x for x in strong if x.endswith(" ")):
+        if not any(f" {w[:k]}" in lexicon for k in range(MIN_STEM, len(w))):
+            lexicon[f" {w}"] = odds(w)
+    return lexicon | {p: MIN_LOG_ODDS for w in WORDS if (p := f" {folded(w).strip()} ") not in lexicon and not any(p.startswith(q) for q in lexicon)}
+
 
-    beginnings = {p.strip() for p in lexicon}
+def _exceptions(rows: list[tuple[list[str], int, int, int]], lexicon: dict[str, float]) -> list[str]:
+    """Phrases of a lexicon word and a neighbour that enough clean groups and no toxic one hold."""
+    beginnings, hit = {p.strip() for p in lexicon}, {}
     phrases: dict[str, tuple[set, set]] = defaultdict(lambda: (set(), set()))
-    for ws, y, g in rows:
+    for ws, y, g, _ in rows:
         for i, w in enumerate(ws):
-            if any(w[:k] in beginnings for k in range(1, len(w) + 1)):
+            if w not in hit:
+                hit[w] = any(w[:k] in beginnings for k in range(1, len(w) + 1))
+            if hit[w]:
                 for j in (i - 1, i):
                     if 0 <= j < len(ws) - 1:
                         phrases[f"{ws[j]} {ws[j + 1]}"][y].add(g)
-    return lexicon, sorted(x for x, c in phrases.items() if len(c[0]) >= MIN_EXCEPTION and not c[1])
+    return sorted(x for x, c in phrases.items() if len(c[0]) >= MIN_EXCEPTION and not c[1])
 
 
 def _logistic(x: np.ndarray, y: np.ndarray) -> list[float]:
@@ -172,23 +204,24 @@ def learn(rows: list[tuple[str, int]]) -> dict:
     out = {"toxic": n[1], "clean": n[0], "lexicon": {f" {folded(w).strip()} ": 1.0 for w in WORDS}, "exceptions": [], "model": [-4.0, 8.0, 0.5, 0.5]}
     if not (n[0] and n[1]):
         return out
-    own = [(folded(t).split(), y, g) for (t, y), g in zip(rows, groups([t for t, _ in rows]), strict=True)]
-    toxic_groups = {g for _, y, g in own if y}
-    place = {g: i % FOLDS for some in (toxic_groups, {g for _, _, g in own} - toxic_groups) for i, g in enumerate(sorted(some))}
-    fold_of = [place[g] for _, _, g in own]
+    group = groups([t for t, _ in rows])
+    toxic_groups = {g for (_, y), g in zip(rows, group, strict=True) if y}
+    fold_of = {g: i % FOLDS for some in (toxic_groups, set(group) - toxic_groups) for i, g in enumerate(sorted(some))}  # copies are in one fold
+    one: dict[str, str] = {}  # equal words are one object
+    own = [([one.setdefault(w, w) for w in folded(t).split()], y, g, fold_of[g]) for (t, y), g in zip(rows, group, strict=True)]
+    del one
+    counts, sizes = _counts(own)
+    toxic_words = {w for ws, y, _, _ in own if y for w in ws}
     x = np.empty((len(rows), 4))
-    for k in range(FOLDS):  # copies are in one fold
-        rest = [r for r, f in zip(own, fold_of, strict=True) if f != k]
-        if len({y for _, y, _ in rest}) == 2:
-            lexicon, exceptions = _lexicon(rest)
-            match = Matcher(out | {"lexicon": lexicon, "exceptions": exceptions})
-        else:
-            match = Matcher(out)
-        for i, f in enumerate(fold_of):
-            if f == k:
+    for k in range(FOLDS):
+        rest = [f for f in range(FOLDS) if f != k]
+        known = all(sum(sizes[f][y] for f in rest) for y in (0, 1))
+        match = Matcher(out | {"lexicon": _lexicon([counts[f] for f in rest], [sizes[f] for f in rest], toxic_words)} if known else out)
+        for i, r in enumerate(own):
+            if r[3] == k:
                 x[i] = match.features(rows[i][0])
-    lexicon, exceptions = _lexicon(own)
-    return out | {"lexicon": lexicon, "exceptions": exceptions, "model": _logistic(x, np.array([y for _, y in rows], float))}
+    lexicon = _lexicon(counts, sizes, toxic_words)
+    return out | {"lexicon": lexicon, "exceptions": _exceptions(own, lexicon), "model": _logistic(x, np.array([y for _, y in rows], float))}
 
 
 class Matcher:
