@@ -1,12 +1,16 @@
 """Quality rules by distribution divergence (operator 5).
 
 Each document's histogram of character classes and of its language's common words is compared with a reference per language by
-Jensen-Shannon distance (base 2, 0 to 1). The references are counted over all documents of the corpus whose `lang` names the
-language and that pass the base rules. A document is judged by its nearest language; documents of fewer than MIN_WORDS words are
-not judged by distance. Everything is built-in SQL functions, and one narrow table of counts is written between the two passes.
-
-A null or empty text has no words and fails the base rules. Rows are judged one by one, so repeated rows and ids are harmless.
-Without any reference (an empty corpus, no language labels) the method keeps what passes the base rules.
+Jensen-Shannon distance (base 2, 0 to 1). The references are counted over all documents of the corpus whose `lang` names one of
+the languages in COMMON and that pass the base rules. A document is judged by its nearest language, also if it is in another.
+Minimum lengths: the base rules reject texts under 50 words; of the others those under MIN_WORDS words are not judged by the
+distance of characters, nor those under MIN_WORDS_FOR_WORDS by that of words, as short histograms are far from any reference.
+Everything is built-in SQL functions, and one narrow table of counts is written between the two passes.
+
+Repeated three-word windows are found by 64-bit hashes of the windows, so two different windows of one text count as equal with a
+chance of 2^-64. A null or empty text has no words and fails the base rules. Texts are read whole, however long, and rows are judged
+one by one, so repeated rows, ties and null ids are harmless; other columns are not read, so their names do not matter. Without
+any reference (an empty corpus, no language labels) the method keeps what passes the base rules.
 """
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -14,7 +18,8 @@ from pyspark.sql import functions as F
 
 from halyard.llm.common import SPACE_CLASS, read, written
 
-MIN_WORDS = 50
+#: A histogram of characters needs so many words.
+MIN_WORDS = 80
 MAX_CHAR_DISTANCE = 0.30
 MAX_WORD_DISTANCE = 0.29
 #: A histogram of words needs more of them than one of characters.
@@ -116,8 +121,8 @@ def verdicts(c: DataFrame, refs: dict) -> DataFrame:
         cd, wd = js_distance("__chars", chars), js_distance(_bins("__words", "n_words", lang), words)
         each.append(F.expr(f"named_struct('s', ({cd}) / {MAX_CHAR_DISTANCE} + ({wd}) / {MAX_WORD_DISTANCE}, 'l', '{lang}', 'c', {cd}, 'w', {wd})"))
     c = c.withColumn("__best", F.array_min(F.array(*each)))
-    within = (F.col("__best.c") <= MAX_CHAR_DISTANCE) & ((F.col("n_words") < MIN_WORDS_FOR_WORDS) | (F.col("__best.w") <= MAX_WORD_DISTANCE))
-    kept = ~F.col("base_failed") & ((F.col("n_words") < MIN_WORDS) | within)
+    like = (F.col("n_words") < MIN_WORDS) | (F.col("__best.c") <= MAX_CHAR_DISTANCE)
+    kept = ~F.col("base_failed") & like & ((F.col("n_words") < MIN_WORDS_FOR_WORDS) | (F.col("__best.w") <= MAX_WORD_DISTANCE))
     return c.withColumns({"lang_nearest": F.col("__best.l"), "char_distance": F.col("__best.c"), "word_distance": F.col("__best.w"), "kept": kept}).drop("__best")
 
 
@@ -127,5 +132,31 @@ def quality(df: DataFrame, key: str = "doc_id", text: str = "text", lang: str =
     return out.select(F.col("__key").alias(key), "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "lang_nearest", F.round("char_distance", 6).alias("char_distance"), F.round("word_distance", 6).alias("word_distance"), "kept")
 
 
+def oracle(documents: str = "documents") -> str:
+    """DuckDB SQL of op5_quality; windows are compared as words, not as hashes."""
+    every = common_words()
+    array = lambda xs: "[" + ", ".join(xs) + "]"
+    known = {"upper": "[^A-Z]", "digit": "[^0-9]", "mark": "[^.,;:!?()''\"-]", "symbol": "[^#*$%&|<>]"}
+    few = ", ".join(f"length(regexp_replace(t, '{rest}', '', 'g')) AS {name}" for name, rest in known.items())
+    bins = " UNION ALL ".join(f"SELECT '{lang}' AS lang, {array([str(every.index(w) + 1) for w in ws])} AS picked" for lang, ws in sorted(COMMON.items()))
+    distance = "sqrt(greatest(0, 0.5 * list_sum(list_transform(list_zip({p}, {q}), lambda z: CASE WHEN z[1] > 0 THEN z[1] * log2(2 * z[1] / (z[1] + z[2])) ELSE 0 END + CASE WHEN z[2] > 0 THEN z[2] * log2(2 * z[2] / (z[1] + z[2])) ELSE 0 END))))"
+    return f"""WITH d AS MATERIALIZED (SELECT row_number() OVER () AS rn, doc_id, lang, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') AS w FROM {documents}),
+base AS MATERIALIZED (SELECT rn, doc_id, lang, len(w) AS n_words, coalesce(list_sum(list_transform(w, lambda x: length(x))), 0) AS word_chars, length(t) AS n, strlen(t) AS bytes, {few}, length(regexp_replace(t, '[^!-Z\\[-`{{-~]', '', 'g')) AS plain,
+  list_transform({array([f"'{w}'" for w in every])}, lambda c: len(list_filter(w, lambda x: x = c))) AS hits, list_filter(string_split(t, chr(10)), lambda l: regexp_matches(l, '[^\\x20\\x09-\\x0D]')) AS lines FROM d),
+win AS (SELECT rn, i, w[i] || ' ' || w[i + 1] || ' ' || w[i + 2] AS x FROM (SELECT rn, w, unnest(range(1, len(w) - 1)) AS i FROM d)),
+again AS (SELECT rn, i FROM (SELECT rn, i, count(*) OVER (PARTITION BY rn, x) AS c FROM win) WHERE c > 1),
+rep AS (SELECT rn, count(DISTINCT j) AS r FROM (SELECT rn, unnest([i, i + 1, i + 2]) AS j FROM again) GROUP BY rn),
+c AS MATERIALIZED (SELECT base.*, CAST(word_chars AS BIGINT) AS wc, len(lines) - len(list_distinct(lines)) AS dup, coalesce(r, 0) AS r, n_words < 50 OR 100 * coalesce(r, 0) > 50 * n_words AS bad,
+  list_transform([upper, digit, mark, symbol, word_chars - plain, n - word_chars, plain - upper - digit - mark - symbol, bytes - n], lambda x: CAST(x AS DOUBLE)) AS chars FROM base LEFT JOIN rep USING (rn)),
+bins AS ({bins}),
+pos AS (SELECT c.rn, b.lang AS ref, c.bad, c.lang, c.chars, list_append(list_transform(b.picked, lambda k: CAST(c.hits[k] AS DOUBLE)), greatest(0, c.n_words - list_sum(list_transform(b.picked, lambda k: c.hits[k])))) AS words FROM c, bins b),
+sums AS (SELECT ref, kind, i, sum(x) AS x FROM (SELECT ref, 'c' AS kind, unnest(range(1, len(chars) + 1)) AS i, unnest(chars) AS x FROM pos WHERE NOT bad AND lang = ref UNION ALL SELECT ref, 'w', unnest(range(1, len(words) + 1)), unnest(words) FROM pos WHERE NOT bad AND lang = ref) GROUP BY ALL),
+refs AS (SELECT ref, kind, list(x / total ORDER BY i) AS q FROM (SELECT *, sum(x) OVER (PARTITION BY ref, kind) AS total FROM sums) GROUP BY ref, kind),
+each AS (SELECT p.rn, p.ref, CASE WHEN list_sum(p.chars) > 0 THEN {distance.format(p="list_transform(p.chars, lambda x: x / list_sum(p.chars))", q="rc.q")} ELSE 1 END AS cd, CASE WHEN list_sum(p.words) > 0 THEN {distance.format(p="list_transform(p.words, lambda x: x / list_sum(p.words))", q="rw.q")} ELSE 1 END AS wd FROM pos p JOIN refs rc ON rc.ref = p.ref AND rc.kind = 'c' JOIN refs rw ON rw.ref = p.ref AND rw.kind = 'w'),
+best AS (SELECT rn, min({{'s': cd / {MAX_CHAR_DISTANCE} + wd / {MAX_WORD_DISTANCE}, 'l': ref, 'c': cd, 'w': wd}}) AS b FROM each GROUP BY rn)
+SELECT doc_id, n_words, wc AS word_chars, CAST(symbol AS BIGINT) AS n_symbols, dup AS n_dup_lines, r AS n_repeat_words, bad AS base_failed, b.l AS lang_nearest, round(coalesce(b.c, 0), 6) AS char_distance, round(coalesce(b.w, 0), 6) AS word_distance,
+  NOT bad AND (b IS NULL OR ((n_words < {MIN_WORDS} OR b.c <= {MAX_CHAR_DISTANCE}) AND (n_words < {MIN_WORDS_FOR_WORDS} OR b.w <= {MAX_WORD_DISTANCE}))) AS kept FROM c LEFT JOIN best USING (rn)"""
+
+
 def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality(read(spark, sf_dir, "documents"))

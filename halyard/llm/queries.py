@@ -18,5 +18,6 @@ QUERIES = {
 ORACLE = {
     "op2_packing": packing.oracle(),
     "op4_topk": topk.ORACLE,
+    "op5_quality": quality.oracle(),
     "op10_url_filter": url_filter.ORACLE,
 }
