@@ -10,13 +10,26 @@ def best_hits(hits: DataFrame, threshold: float = 0.98) -> DataFrame:
     return hits.filter(F.col("score") >= threshold).withColumn("__r", F.row_number().over(w)).filter("__r = 1").drop("__r")
 
 
-def merge_intervals(df: DataFrame, group: str, start: str = "start_ms", end: str = "end_ms", gap: float = 1e-6) -> DataFrame:
-    """Union of the intervals of each group: overlapping, or at most `gap` apart, become one."""
-    w = Window.partitionBy(group).orderBy(start, end)
-    reach = F.max(end).over(w.rowsBetween(Window.unboundedPreceding, -1))
-    new = df.filter(f"{start} IS NOT NULL AND {end} IS NOT NULL").withColumn("__n", F.when(reach.isNull() | (F.col(start) > reach + gap), 1).otherwise(0))
-    runs = new.withColumn("__g", F.sum("__n").over(w.rowsBetween(Window.unboundedPreceding, 0)))
-    return runs.groupBy(group, "__g").agg(F.min(start).alias(start), F.max(end).alias(end)).drop("__g")
+def merge_intervals(df: DataFrame, group: str, start: str = "start_ms", end: str = "end_ms", gap: float = 1e-6, slice_width: float = 600_000.0) -> DataFrame:
+    """Union of the intervals of each group: overlapping, or at most `gap` apart, become one.
+
+    A group is cut into slices of time by the interval's start. Windows run inside a slice; from one slice to the next only how far the
+    intervals reach and where the last run began is carried, one row a slice, so that no task holds a whole group.
+    """
+    rows = df.filter(f"{start} IS NOT NULL AND {end} IS NOT NULL").select(F.col(group).alias("g"), F.col(start).alias("s"), F.col(end).alias("e"), F.floor(F.col(start) / slice_width).alias("slice"))
+    inside, earlier = Window.partitionBy("g", "slice").orderBy("s", "e"), Window.partitionBy("g").orderBy("slice").rowsBetween(Window.unboundedPreceding, -1)
+
+    def carried(x: DataFrame, value, name: str) -> DataFrame:
+        """Adds the largest value of the group's earlier slices."""
+        slices = x.groupBy("g", "slice").agg(F.max(value).alias("m")).withColumn(name, F.max("m").over(earlier)).select(F.col("g").alias("g2"), F.col("slice").alias("slice2"), name)
+        return x.join(slices, F.col("g").eqNullSafe(F.col("g2")) & (F.col("slice") == F.col("slice2"))).drop("g2", "slice2")
+
+    rows = carried(rows, F.col("e"), "before")
+    reach = F.greatest(F.max("e").over(inside.rowsBetween(Window.unboundedPreceding, -1)), F.col("before"))  # greatest skips nulls
+    rows = rows.withColumn("reach", reach).withColumn("first", F.when(F.col("reach").isNull() | (F.col("s") > F.col("reach") + gap), F.col("s")))
+    rows = carried(rows, F.col("first"), "run")
+    run = F.coalesce(F.max("first").over(inside.rowsBetween(Window.unboundedPreceding, 0)), F.col("run"))
+    return rows.withColumn("run", run).groupBy("g", "run").agg(F.min("s").alias(start), F.max("e").alias(end)).select(F.col("g").alias(group), start, end)
 
 
 def match_tracks(hits: DataFrame, tracks: DataFrame, threshold: float = 0.98) -> DataFrame:

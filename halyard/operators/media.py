@@ -124,3 +124,18 @@ class Codebook:
         value = "n / norm" if self.weight == "l2" else f"n / len * element_at({idf}, w + 1)"
         vec = F.expr(f"transform(sequence(0, {self.k - 1}), w -> coalesce(element_at(transform(array(m[w]), n -> {value}), 1), 0D))")
         return docs.select(self.doc).join(maps, self.doc, "left").select(self.doc, vec.alias("vector"))
+
+
+def extract(data: bytes, kind: str, bins: int = 4) -> list[float]:
+    """The vector of one uploaded file: a WAV file's segment vector, or the colour histogram of raw RGB bytes given as a PPM image."""
+    if kind == "audio":
+        x, rate = read_wav(data)
+        return segment_vector(x, rate).tolist()
+    if kind != "image":
+        raise ValueError(f"unknown kind {kind!r}; known: image, audio")
+    head = data.split(maxsplit=4)
+    if len(head) < 5 or head[0] != b"P6" or head[3] != b"255":
+        raise ValueError("an image comes as binary PPM (P6) with 255 levels")
+    w, h = int(head[1]), int(head[2])
+    pixels = np.frombuffer(data[len(data) - 3 * w * h :], np.uint8).reshape(h, w, 3)
+    return colour_histogram(pixels, bins).tolist()

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from halyard import queries
 from halyard.functions import spatial, text
-from halyard.operators import media, text_search, vector_search
+from halyard.operators import apps, media, text_search, vector_search
 
 SF = "/root/testdata/sf0.001"
 
@@ -64,7 +64,41 @@ def test_ivf_recall(spark):
     assert {r.method for r in out} == {"seq", "ivf", "hnsw"} and all(r.recall == 1.0 for r in out)
 
 
+@pytest.mark.parametrize("width", [7.0, 100.0, 1e9])
+def test_merge_in_slices(spark, width):
+    rng = np.random.default_rng(4)
+    rows = [(int(g), float(s), float(s + d)) for g, s, d in zip(rng.integers(0, 3, 400), rng.integers(0, 900, 400), rng.integers(0, 9, 400), strict=True)] + [(0, 100.0, 700.0), (1, None, 5.0), (None, 3.0, 4.0), (None, 4.0, 8.0)]
+    got = apps.merge_intervals(spark.createDataFrame(rows, "g int, start_ms double, end_ms double"), "g", slice_width=width).collect()
+    want = []
+    for g in (0, 1, 2, None):
+        run = None
+        for _, s, e in sorted((r for r in rows if r[0] == g and r[1] is not None), key=lambda r: r[1:]):
+            if run and s <= run[1] + 1e-6:
+                run[1] = max(run[1], e)
+            else:
+                run = [s, e]
+                want.append((g, run))
+    assert sorted((tuple(r) for r in got), key=repr) == sorted(((g, *r) for g, r in want), key=repr)
+
+
+def test_ivf_through_sql_recall(spark):
+    e = spark.read.parquet(f"{SF}/embeddings.parquet")
+    exact = {r.vec_id for r in vector_search.nearest(e, e.filter("vec_id = 3").first().embedding, 10).collect()}
+    found = {r.vec_id for r in queries.QUERIES["sql_vector_ivf"](spark, SF).collect()}
+    assert len(exact & found) >= 9
+
+
+def test_scale_up(spark):
+    e = spark.read.parquet(f"{SF}/embeddings.parquet")
+    n = e.count()
+    a, b = (sorted(map(repr, vector_search.scale_up(e, n + 50).collect())) for _ in "ab")
+    assert a == b and len(a) == n + 50 and vector_search.scale_up(e, 3).count() == n and vector_search.scale_up(e.filter("false"), 9).count() == 0
+
+
 def test_media(spark):
+    assert media.extract(b"P6\n2 1\n255\n" + bytes([0, 0, 0, 255, 255, 255]), "image")[0] == pytest.approx(0.5**0.5)
+    with pytest.raises(ValueError, match="PPM"):
+        media.extract(b"GIF89a", "image")
     img = np.zeros((8, 8, 3), np.uint8)
     h = media.colour_histogram(img)
     assert h[0] == 1 and len(h) == 64
