@@ -1,15 +1,13 @@
 """What the operators share: the shared folder, written tables, the hold-out rule and word boundaries."""
 
-import atexit
 import ctypes
-import re
-import tempfile
-import uuid
 from collections.abc import Iterator
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from halyard.sources.shared import remove, scratch
+
 #: A word is a run of anything but these: space, tab, line feed, vertical tab, form feed, carriage return.
 SPACE_CLASS = r"\\x20\\x09-\\x0D"
 
@@ -18,33 +16,6 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that the driver and all executors share: spark.checkpoint.dir; on a single machine one of our own where that is unset."""
-    sc = spark.sparkContext
-    found = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
-    if not found:
-        if not re.fullmatch(r"local(\[.*\])?", sc.master):
-            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        found = tempfile.mkdtemp(prefix="halyard-")
-        sc.setCheckpointDir(found)
-    return found.rstrip("/")
-
-
-def _remove(spark: SparkSession, path: str) -> None:
-    try:
-        p = spark._jvm.org.apache.hadoop.fs.Path(path)
-        p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
-    except Exception:  # the session may be gone
-        pass
-
-
-def scratch(spark: SparkSession, label: str) -> str:
-    """A new path in the shared folder, removed when the driver ends."""
-    path = f"{shared_dir(spark)}/halyard-{label}-{uuid.uuid4().hex}"
-    atexit.register(_remove, spark, path)
-    return path
-
-
 def written(df: DataFrame, label: str) -> DataFrame:
     """The rows as a Parquet table in the shared folder: lineage ends here, and a lost executor loses nothing."""
     spark = df.sparkSession
@@ -57,7 +28,7 @@ def written(df: DataFrame, label: str) -> DataFrame:
 
 def drop_written(df: DataFrame) -> None:
     """Free a written table that no result still reads."""
-    _remove(df.sparkSession, df._halyard_path)
+    remove(df.sparkSession, df._halyard_path)
 
 
 def fold(key: str, n: int) -> Column:

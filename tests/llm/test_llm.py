@@ -189,7 +189,7 @@ def test_quality(spark, docs, odd, none):
         return len(w), sum(map(len, w)), sum(x in "#*$%&|<>" for x in t), len(lines) - len(set(lines)), len(hit), len(w) < 50 or 100 * len(hit) > 50 * len(w)
 
     long = spark.createDataFrame([(7001, " ".join(f"a{i % 400}" for i in range(1000)), "en", ""), (7002, "a b a b a b a", "en", "")], odd.schema)
-    df = docs.select("doc_id", "text", "lang").unionByName(odd.drop("id")).unionByName(long.drop("id"))
+    df = docs.select("doc_id", "text", "lang").unionByName(odd, allowMissingColumns=True).unionByName(long, allowMissingColumns=True)
     rows = quality.quality(df).collect()
     key = lambda r: (r.doc_id is None, r.doc_id, r.n_words)
     want = sorted(((r.doc_id, *brute(r.text)) for r in df.collect()), key=lambda r: (r[0] is None, r[0], r[1]))
@@ -198,6 +198,22 @@ def test_quality(spark, docs, odd, none):
     assert quality.quality(none).count() == 0
 
 
+def test_quality_query(spark, docs, odd, tmp_path):
+    """The whole query, with distances, references and verdicts, against DuckDB; short texts are not judged by distance."""
+    junk = [(600_000, "XQZ 99 ## || " * 30, "en"), (600_001, "XQZ% " + " ".join(f"Q{i}##" for i in range(60)), "en"), (600_002, " ".join(f"Q{i}##" for i in range(90)), "de")]
+    df = docs.select("doc_id", "text", "lang").unionByName(odd.select("doc_id", "text", "lang")).unionByName(spark.createDataFrame(junk, "doc_id long, text string, lang string"))
+    df.coalesce(1).write.parquet(str(tmp_path / "documents.parquet"))
+    c = duckdb.connect()
+    c.execute(f"CREATE VIEW documents AS SELECT * FROM read_parquet('{tmp_path}/documents.parquet/*.parquet')")
+    q = c.execute(quality.oracle())
+    at = [d[0] for d in q.description]
+    want = sorted((tuple(x[at.index(n)] for n in sorted(at)) for x in q.fetchall()), key=repr)
+    got = quality.op5_quality(spark, str(tmp_path)).collect()
+    assert sorted((tuple(r[n] for n in sorted(at)) for r in got), key=repr) == want
+    verdict = {r.doc_id: r.kept for r in got}
+    assert verdict[600_001] and not verdict[600_002] and not verdict[600_000]
+
+
 def test_token_counts(spark, docs, odd, none):
     """The query's result on every document against the library's own unigram model of the same log probabilities."""
     from tokenizers import Tokenizer, models
