@@ -26,6 +26,8 @@ from halyard.llm.common import read, written
 ROWS = 2048
 #: Bytes of vectors, as doubles, in a group of candidates or queries.
 GROUP_BYTES = 16 << 20
+#: A small table's queries are dealt into so many groups at most; each meets a copy of the candidates.
+QUERY_GROUPS = 4
 LEVELS = (4, 16)
 SCALE = 64
 #: Pairs are scored by a matrix product if they are at least one in so many of its cells.
@@ -136,8 +138,9 @@ def search(df: DataFrame, is_query: str, k: int = 20, key: str = "vec_id", vec:
     rows = written(rows, "vectors")  # written, so that row numbers stay the same
     size = rows.agg(F.count("*").alias("n"), F.sum(8 * F.col("dim")).alias("b"), F.count_if(F.expr(is_query)).alias("nq"), F.sum(F.expr(f"CASE WHEN {is_query} THEN 8 * dim END")).alias("bq")).first()
     tasks = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    n_x = max(-(-(size.b or 0) // GROUP_BYTES), min(tasks, -(-size.n // ROWS)), 1)
-    n_q = max(-(-(size.bq or 0) // GROUP_BYTES), 1)
+    n_x = max(-(-(size.b or 0) // GROUP_BYTES), 1)
+    # few candidate groups, so that a query's threshold serves long; small tables find work for all tasks by more query groups
+    n_q = max(-(-(size.bq or 0) // GROUP_BYTES), min(QUERY_GROUPS, -(-tasks // n_x), -(-size.nq // 256)), 1)
 
     def dealt(r: DataFrame, own: str, n_own: int, other: str, n_other: int) -> DataFrame:
         return r.withColumn(own, F.pmod(F.xxhash64("rid"), F.lit(n_own)).cast("int")).withColumn(other, F.explode(F.sequence(F.lit(0), F.lit(n_other - 1)))).groupBy("dim", "x_group", "q_group")
