@@ -17,7 +17,7 @@ import re
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from halyard.llm.common import fold, read, small_batches, tidy
@@ -186,11 +186,9 @@ def sample(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str =
     """(text, language) of about MAX_DOCS labelled documents per language, chosen by hash, outside the held-out fold."""
     small_batches(docs.sparkSession)
     rows = docs.select(F.col(key).cast("long").alias("k"), F.col(text).alias("t"), F.col(lang).alias("l")).withColumn("f", fold("k", folds)).filter(f"l IS NOT NULL AND t IS NOT NULL AND f <> {held_out}")
-    sizes = rows.groupBy("l").agg(F.count("*").alias("n"))  # one row per language
-    place = F.pmod(F.xxhash64(F.lit(29), "k"), F.lit(2**30))
-    got = rows.join(F.broadcast(sizes), "l").filter(place < F.expr(f"CAST(least(1D, {MAX_DOCS}D / n) * {2**30} AS BIGINT)")).select("k", "t", "l", place.alias("place"))  # about MAX_DOCS per language
-    bytes_so_far = F.sum(F.octet_length("t")).over(Window.partitionBy("l").orderBy("place", "k", "t").rowsBetween(Window.unboundedPreceding, 0))
-    some = got.withColumn("size", bytes_so_far).filter(F.col("size") <= MAX_BYTES).select("k", "t", "l").collect()
+    sizes = rows.groupBy("l").agg(F.count("*").alias("n"), F.sum(F.octet_length("t")).alias("b"))  # one row per language
+    place, share = F.pmod(F.xxhash64(F.lit(29), "k"), F.lit(2**30)), f"least(1D, {MAX_DOCS}D / n, {MAX_BYTES}D / greatest(b, 1))"
+    some = rows.join(F.broadcast(sizes), "l").filter(place < F.expr(f"CAST({share} * {2**30} AS BIGINT)")).select("k", "t", "l").collect()  # about MAX_DOCS rows and MAX_BYTES bytes per language
     return [(r.t, r.l) for r in sorted(some, key=lambda r: (r.k, r.t, r.l))]
 
 

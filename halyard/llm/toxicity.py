@@ -26,7 +26,7 @@ from collections.abc import Iterator
 import ahocorasick
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from halyard.llm import shingles
@@ -255,16 +255,14 @@ def train(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "
     small_batches(docs.sparkSession)
     pool = labels.select(F.col(key).cast("long").alias("k"), F.col(label).alias("y")).filter(F.col("y").isin(0, 1)).filter(fold("k", folds) != held_out)
     pool = pool.groupBy("k").agg(F.max("y").alias("y"))
-    sizes = {r[0]: r[1] for r in pool.groupBy("y").count().collect()}  # two rows
+    rows = docs.select(F.col(key).cast("long").alias("k"), F.coalesce(F.col(text), F.lit("")).alias("t"))
+    sizes = rows.select("k", F.octet_length("t").alias("b")).join(pool, "k").groupBy("y").agg(F.count("*").alias("n"), F.sum("b").alias("b")).collect()  # two rows
     cut = F.lit(0)
-    for y, n in sizes.items():
-        cut = F.when(F.col("y") == y, int(min(1.0, MAX_CLASS / n) * 2**30)).otherwise(cut)
-    place = F.pmod(F.xxhash64(F.lit(17), "k"), F.lit(2**30))
-    chosen = pool.filter(place < cut)
-    got = docs.select(F.col(key).cast("long").alias("k"), F.coalesce(F.col(text), F.lit("")).alias("t")).join(F.broadcast(chosen), "k")  # about 2 * MAX_CLASS rows
-    bytes_so_far = F.sum(F.octet_length("t")).over(Window.partitionBy("y").orderBy(place, "k", "t").rowsBetween(Window.unboundedPreceding, 0))
-    rows = got.withColumn("size", bytes_so_far).filter(F.col("size") <= MAX_BYTES).select("k", "t", "y").collect()
-    return learn([(r.t, int(r.y)) for r in sorted(rows)])
+    for r in sizes:
+        cut = F.when(F.col("y") == r.y, int(min(1.0, MAX_CLASS / r.n, MAX_BYTES / max(1, r.b)) * 2**30)).otherwise(cut)
+    chosen = pool.filter(F.pmod(F.xxhash64(F.lit(17), "k"), F.lit(2**30)) < cut)
+    some = rows.join(F.broadcast(chosen), "k").collect()  # about 2 * MAX_CLASS rows and 2 * MAX_BYTES bytes
+    return learn([(r.t, int(r.y)) for r in sorted(some)])
 
 
 def scorer(model: dict, text: str = "text") -> Column:
