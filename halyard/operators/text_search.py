@@ -153,10 +153,16 @@ def file_index(df: DataFrame, text: str, key: str, analyser: str = "spanish", **
     """The index of a table read from files, stored in the shared folder under a name made of those files, their sizes and times, so
     that it is built once a version of the files and never read for another."""
     spark = df.sparkSession
-    hadoop, files = spark._jvm.org.apache.hadoop.fs.Path, []
-    for name in sorted(df.inputFiles()):
-        s = hadoop(name).getFileSystem(spark._jsc.hadoopConfiguration()).getFileStatus(hadoop(name))
-        files.append((name, s.getLen(), s.getModificationTime()))
+    hadoop, names = spark._jvm.org.apache.hadoop.fs.Path, set(df.inputFiles())
+    files = []
+    for parent in sorted({n.rsplit("/", 1)[0] for n in names}):  # one listing a folder
+        folder = hadoop(spark._jvm.java.net.URI(parent))
+        for s in folder.getFileSystem(spark._jsc.hadoopConfiguration()).listStatus(folder):
+            if f"{parent}/{s.getPath().toUri().getRawPath().rsplit('/', 1)[1]}" in names:
+                files.append((s.getPath().toString(), s.getLen(), s.getModificationTime()))
+    if not files or len(files) != len(names):  # not files that can be told apart
+        return index(df, text, key, analyser, **options)
+    files.sort()
     name = hashlib.sha256(repr((files, text, key, analyser, sorted(options.items()))).encode()).hexdigest()[:32]
     return index(df, text, key, analyser, f"{shared_dir(spark)}/halyard-text-{name}", **options)
 

@@ -20,21 +20,27 @@ def nearest(df: DataFrame, query, k: int, metric: str = "cosine", vec: str = "em
     return df.filter(f"{vec} IS NOT NULL").withColumn("distance", F.expr(V.distance(vec, _array(query), metric))).orderBy("distance", key).limit(k)
 
 
-#: Rows of a query block that every row meets at a time.
-QUERY_BLOCK = 512
+#: Bytes of a block of queries that every row meets at a time.
+BLOCK_BYTES = 16 << 20
 
 
 def nearest_join(df: DataFrame, queries: DataFrame, k: int, metric: str = "cosine", vec: str = "embedding", key: str = "vec_id", digits: int = 9, skip_self: bool = False) -> DataFrame:
     """(query_id, rank, key, distance) for a stated query set against all rows, or all but the query's own. queries: query_id, q.
 
-    Queries are dealt into blocks; each row meets the queries block by block through an equi-join on the block's number, so neither side
-    is broadcast for its own sake and a large query set only means more blocks.
+    The queries' bytes are summed first. Up to BLOCK_BYTES they are broadcast; more are dealt into blocks, and each row meets the
+    queries block by block through an equi-join on the block's number and a salt, so that all tasks share a block's rows.
     """
     asked = queries.select("query_id", "q")
-    blocks = max(1, -(-asked.count() // QUERY_BLOCK))
-    asked = asked.withColumn("block", F.pmod(F.xxhash64("query_id"), F.lit(blocks)))
-    rows = df.select(key, vec).filter(f"{vec} IS NOT NULL").withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)).cast("array<bigint>")))
-    pairs = rows.join(F.broadcast(asked) if blocks == 1 else asked, "block")  # one block is bounded
+    size = asked.agg(F.sum(16 + 8 * F.size("q"))).first()[0] or 0
+    blocks = max(1, -(-size // BLOCK_BYTES))
+    rows = df.select(key, vec).filter(f"{vec} IS NOT NULL")
+    if blocks == 1:
+        pairs = rows.withColumn("block", F.lit(0)).join(F.broadcast(asked.withColumn("block", F.lit(0))), "block").drop("block")
+    else:
+        salts = max(1, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")) // blocks)
+        asked = asked.withColumn("block", F.pmod(F.xxhash64("query_id"), F.lit(blocks)).cast("int")).withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+        rows = rows.withColumn("salt", F.pmod(F.xxhash64(key), F.lit(salts)).cast("int")).withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
+        pairs = rows.join(asked, ["block", "salt"]).drop("block", "salt")
     pairs = pairs.filter(F.col(key) != F.col("query_id")) if skip_self else pairs
     d = pairs.select("query_id", key, F.round(F.expr(V.distance(vec, "q", metric)), digits).alias("distance"))
     w = Window.partitionBy("query_id").orderBy("distance", key)

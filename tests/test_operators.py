@@ -88,6 +88,14 @@ def test_ivf_through_sql_recall(spark):
     assert len(exact & found) >= 9
 
 
+def test_query_blocks(spark, monkeypatch):
+    e = spark.read.parquet(f"{SF}/embeddings.parquet")
+    q = e.filter("vec_id % 20 = 0").selectExpr("vec_id AS query_id", "embedding AS q")
+    whole = sorted(vector_search.nearest_join(e, q, 3, "l2", skip_self=True).collect())
+    monkeypatch.setattr(vector_search, "BLOCK_BYTES", 2000)
+    assert sorted(vector_search.nearest_join(e, q, 3, "l2", skip_self=True).select("query_id", "vec_id", "distance", "rank").collect()) == sorted(tuple(r[c] for c in ("query_id", "vec_id", "distance", "rank")) for r in whole)
+
+
 def test_scale_up(spark):
     e = spark.read.parquet(f"{SF}/embeddings.parquet")
     n = e.count()
