@@ -48,15 +48,15 @@ class InvertedIndex:
 
     @staticmethod
     def stored(spark: SparkSession, path: str, docs: DataFrame, token_rows: DataFrame | None) -> "InvertedIndex":
-        """The index kept under `path`, built there first if it is not: one pass over the texts; postings sorted by term, so that a
-        query reads the row groups of its words; documents with length and norm; terms with document frequency."""
+        """The index kept under `path`, built there first if it is not: one pass over the texts; postings dealt by term and document, so
+        that no word is hot, and sorted by term in each file, so that a query reads the row groups of its words; documents with length and norm; terms with document frequency."""
         ix = InvertedIndex.__new__(InvertedIndex)
         hadoop = spark._jvm.org.apache.hadoop.fs.Path
         fs = hadoop(path).getFileSystem(spark._jsc.hadoopConfiguration())
         if not fs.exists(hadoop(path)):  # made under another name first, so that a half-made one is never read
             draft = f"{path}-{uuid.uuid4().hex}"
             made = InvertedIndex(docs, token_rows)
-            made.postings.repartitionByRange("term").sortWithinPartitions("term", "doc").write.parquet(f"{draft}/postings")
+            made.postings.sortWithinPartitions("term", "doc").write.parquet(f"{draft}/postings")
             made.postings = spark.read.parquet(f"{draft}/postings")
             made.terms().write.parquet(f"{draft}/terms")
             made._terms = spark.read.parquet(f"{draft}/terms")
