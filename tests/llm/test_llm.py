@@ -84,10 +84,9 @@ def test_minhash_template(spark, tmp_path, monkeypatch):
         return pairs
 
     monkeypatch.setattr(minhash, "across", counted)
-    for share in (0.13, 0.18):
-        for n in (100, 400):
-            rows = minhash.near_duplicates(spark.createDataFrame(template(n, share), "doc_id long, text string")).collect()
-            assert all(r.component_id == r.doc_id for r in rows) and made[-1] <= n
+    for share, n in ((0.13, 100), (0.18, 400)):
+        rows = minhash.near_duplicates(spark.createDataFrame(template(n, share), "doc_id long, text string")).collect()
+        assert all(r.component_id == r.doc_id for r in rows) and made[-1] <= n
     texts = template(40, 0.14) + [(100 + k, t.replace("t7 ", f"u{k} ")) for k, t in template(12, 0.14)] + [(200 + k, " ".join(t.split()[: 290 + k])) for k, t in template(20, 0.16)]
     _, label = groups(texts, 80)
     assert 1 < len(set(label.values())) < len(texts)
