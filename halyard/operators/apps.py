@@ -28,7 +28,8 @@ def merge_intervals(df: DataFrame, group: str, start: str = "start_ms", end: str
     reach = F.greatest(F.max("e").over(inside.rowsBetween(Window.unboundedPreceding, -1)), F.col("before"))  # greatest skips nulls
     rows = rows.withColumn("reach", reach).withColumn("first", F.when(F.col("reach").isNull() | (F.col("s") > F.col("reach") + gap), F.col("s")))
     rows = carried(rows, F.col("first"), "run")
-    run = F.coalesce(F.max("first").over(inside.rowsBetween(Window.unboundedPreceding, 0)), F.col("run"))
+    upto = Window.partitionBy("g", "slice").orderBy("s").rangeBetween(Window.unboundedPreceding, Window.currentRow)  # equal intervals together
+    run = F.coalesce(F.max("first").over(upto), F.col("run"))
     return rows.withColumn("run", run).groupBy("g", "run").agg(F.min("s").alias(start), F.max("e").alias(end)).select(F.col("g").alias(group), start, end)
 
 
