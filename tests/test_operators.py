@@ -68,6 +68,7 @@ def test_ivf_recall(spark):
 def test_merge_in_slices(spark, width):
     rng = np.random.default_rng(4)
     rows = [(int(g), float(s), float(s + d)) for g, s, d in zip(rng.integers(0, 3, 400), rng.integers(0, 900, 400), rng.integers(0, 9, 400), strict=True)] + [(0, 100.0, 700.0), (1, None, 5.0), (None, 3.0, 4.0), (None, 4.0, 8.0)]
+    rows += rows[:200]  # equal intervals
     got = apps.merge_intervals(spark.createDataFrame(rows, "g int, start_ms double, end_ms double"), "g", slice_width=width).collect()
     want = []
     for g in (0, 1, 2, None):
