@@ -104,6 +104,15 @@ def test_scale_up(spark):
     assert a == b and len(a) == n + 50 and vector_search.scale_up(e, 3).count() == n and vector_search.scale_up(e.filter("false"), 9).count() == 0
 
 
+def test_scale_up_of_several_files(spark, tmp_path):
+    rows = "CAST(3 * id AS BIGINT) AS vec_id", "transform(sequence(0, 63), i -> CAST(pmod(xxhash64(id, i), 1000) / 1000 AS FLOAT)) AS embedding"
+    spark.range(0, 12000, 1, 8).selectExpr(*rows).write.parquet(str(tmp_path / "embeddings.parquet"))
+    assert queries.QUERIES["vector_scale_up"](spark, str(tmp_path)).first().asDict() == {"n": 36000, "real": 12000, "unit": True}
+    e = spark.read.parquet(str(tmp_path / "embeddings.parquet"))
+    made = vector_search.scale_up(e, 36000)
+    assert made.select("vec_id").distinct().count() == 36000 and made.join(e, "vec_id", "leftanti").count() == 24000
+
+
 def test_media(spark):
     assert media.extract(b"P6\n2 1\n255\n" + bytes([0, 0, 0, 255, 255, 255]), "image")[0] == pytest.approx(0.5**0.5)
     with pytest.raises(ValueError, match="PPM"):
