@@ -1,6 +1,6 @@
 """Interval merge and coverage of matched segments, and audio segmentation."""
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -33,11 +33,28 @@ def merge_intervals(df: DataFrame, group: str, start: str = "start_ms", end: str
     return rows.withColumn("run", run).groupBy("g", "run").agg(F.min("s").alias(start), F.max("e").alias(end)).select(F.col("g").alias(group), start, end)
 
 
+#: Hits of a track, about, that are added up in one go.
+RUN = 10_000
+
+
+def ordered_sums(best: DataFrame) -> DataFrame:
+    """(track_id, total): scores added up in the order of the segments, so that the last digits do not hang on how rows are dealt. Tracks of
+    more than RUN hits are cut into parts by hash, each added up in order, and then the parts. best: track_id, segment_id, score, hits."""
+
+    def total(of: str) -> Column:
+        return F.expr(f"aggregate(transform(array_sort(collect_list(struct({of}))), x -> x.score), 0D, (s, x) -> s + x)").alias("score")
+
+    part = F.expr(f"pmod(xxhash64(segment_id), 1 + hits DIV {RUN})").alias("part")
+    parts = best.select("track_id", "segment_id", F.col("score").cast("double").alias("score"), part).groupBy("track_id", "part").agg(total("segment_id, score"))
+    return parts.groupBy("track_id").agg(total("part, score")).withColumnRenamed("score", "total")
+
+
 def match_tracks(hits: DataFrame, tracks: DataFrame, threshold: float = 0.98) -> DataFrame:
     """Per track: hits, covered time, coverage in percent, mean and maximum score. tracks: track_id, duration_ms."""
     best = best_hits(hits, threshold)
     cover = merge_intervals(best, "track_id").groupBy("track_id").agg(F.sum(F.col("end_ms") - F.col("start_ms")).alias("covered_ms"))
-    score = best.groupBy("track_id").agg(F.count("*").alias("hits"), F.avg("score").alias("mean_score"), F.max("score").alias("max_score"))
+    score = best.groupBy("track_id").agg(F.count("*").alias("hits"), F.max("score").alias("max_score"))
+    score = score.join(ordered_sums(best.join(score, "track_id")), "track_id").withColumn("mean_score", F.col("total") / F.col("hits"))
     pct = F.expr("least(100D, 100D * covered_ms / nullif(duration_ms, 0))").alias("coverage")
     return score.join(cover, "track_id").join(tracks.select("track_id", "duration_ms"), "track_id").select("track_id", "hits", "covered_ms", pct, "mean_score", "max_score")
 

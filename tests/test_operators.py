@@ -11,6 +11,7 @@ from halyard.functions import spatial, text
 from halyard.operators import apps, media, text_search, vector_search
 
 SF = "/root/testdata/sf0.001"
+HITS = "segment_id long, track_id long, start_ms double, end_ms double, score double"
 
 
 @pytest.fixture(scope="module")
@@ -82,6 +83,28 @@ def test_merge_in_slices(spark, width):
     assert sorted((tuple(r) for r in got), key=repr) == sorted(((g, *r) for g, r in want), key=repr)
 
 
+def test_mean_score_in_any_order(spark, monkeypatch):
+    scores = [0.98 + (i * 7919 % 1000) / 50000 for i in range(300)]
+    want = sum_in_order(scores) / len(scores)
+    hits = [(i, 0, 50.0 * i, 50.0 * i + 80, x) for i, x in enumerate(scores)]
+    tracks = spark.createDataFrame([(0, 1e4)], "track_id long, duration_ms double")
+
+    def means():
+        return {apps.match_tracks(spark.createDataFrame(rows, HITS).coalesce(1), tracks).first().mean_score for rows in (hits, hits[::-1], sorted(hits, key=lambda r: r[4]))}
+
+    assert means() == {want}
+    monkeypatch.setattr(apps, "RUN", 50)
+    cut = means()
+    assert len(cut) == 1 and math.isclose(cut.pop(), want)
+
+
+def sum_in_order(values):
+    total = 0.0
+    for v in values:
+        total += v
+    return total
+
+
 def test_ivf_through_sql_recall(spark):
     e = spark.read.parquet(f"{SF}/embeddings.parquet")
     exact = {r.vec_id for r in vector_search.nearest(e, e.filter("vec_id = 3").first().embedding, 10).collect()}
