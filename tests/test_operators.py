@@ -1,5 +1,6 @@
 import math
 import os
+import time
 
 import duckdb
 import numpy as np
@@ -7,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from halyard import queries
-from halyard.functions import spatial, text
+from halyard.functions import spatial, text, vector
 from halyard.operators import apps, media, text_search, vector_search
 
 SF = "/root/testdata/sf0.001"
@@ -120,6 +121,39 @@ def test_query_blocks(spark, monkeypatch):
     assert sorted(vector_search.nearest_join(e, q, 3, "l2", skip_self=True).select("query_id", "vec_id", "distance", "rank").collect()) == sorted(tuple(r[c] for c in ("query_id", "vec_id", "distance", "rank")) for r in whole)
 
 
+ODD = [[0.0] * 4, [float("nan"), 1.0, 1.0, 1.0], [float("inf"), 0.0, 1.0, 1.0], [None, 1.0, 2.0, 3.0], [1e30] * 4, [1e-30, 0.0, 0.0, 0.0]]
+
+
+@pytest.mark.parametrize("metric", ["cosine", "euclidean", "dot"])
+@pytest.mark.parametrize("size", [16 << 20, 1500])
+def test_nearest_join_equals_all_pairs(spark, monkeypatch, metric, size):
+    monkeypatch.setattr(vector_search, "BLOCK_BYTES", size)
+    rng = np.random.default_rng(7)
+    vectors = [v.tolist() for v in rng.integers(-3, 4, (150, 4)).astype(float)] + (ODD if metric == "cosine" else ODD[:3] + ODD[4:])
+    e = spark.createDataFrame(list(enumerate(vectors)), "vec_id long, embedding array<float>")
+    q = e.filter("vec_id % 7 = 0 OR vec_id >= 150").selectExpr("vec_id AS query_id", "embedding AS q")
+    for own in (False, True):
+        pairs = e.crossJoin(q).filter("vec_id <> query_id" if own else "true").withColumn("d", F.round(F.expr(vector.distance("embedding", "q", metric)), 9))
+        want = pairs.withColumn("rank", F.expr("row_number() OVER (PARTITION BY query_id ORDER BY d, vec_id)")).filter("rank <= 4").select("query_id", "rank", "vec_id", "d")
+        got = vector_search.nearest_join(e, q, 4, metric, skip_self=own).select("query_id", "rank", "vec_id", F.round("distance", 9).alias("d"))
+        assert sorted(map(repr, got.collect())) == sorted(map(repr, want.collect()))
+
+
+def test_nearest_join_in_time(spark):
+    """40 million pairs, which took minutes one by one."""
+    e = spark.range(20000).selectExpr("id AS vec_id", "transform(sequence(0, 63), i -> CAST(pmod(xxhash64(id, i), 1000) / 500 - 1 AS FLOAT)) AS embedding").localCheckpoint()
+    start = time.monotonic()
+    assert vector_search.identify(e, e.filter("vec_id % 10 = 0").selectExpr("vec_id AS query_id", "embedding AS q"), skip_self=True).count() == 2000
+    assert time.monotonic() - start < 40
+
+
+def test_queries_without_vector(spark):
+    e = spark.createDataFrame([(i, [1.0, float(i)]) for i in range(5)], "vec_id long, embedding array<float>")
+    q = spark.createDataFrame([(0, None), (3, [1.0, 3.0])], "query_id long, q array<float>")
+    got = {(r.query_id, r.rank): (r.vec_id, r.distance) for r in vector_search.nearest_join(e, q, 2, "l2", skip_self=True).collect()}
+    assert got == {(0, 1): (1, None), (0, 2): (2, None), (3, 1): (2, 1.0), (3, 2): (4, 1.0)}
+
+
 def test_scale_up(spark):
     e = spark.read.parquet(f"{SF}/embeddings.parquet")
     n = e.count()
