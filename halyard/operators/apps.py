@@ -49,12 +49,24 @@ def ordered_sums(best: DataFrame) -> DataFrame:
     return parts.groupBy("track_id").agg(total("part, score")).withColumnRenamed("score", "total")
 
 
-def match_tracks(hits: DataFrame, tracks: DataFrame, threshold: float = 0.98) -> DataFrame:
-    """Per track: hits, covered time, coverage in percent, mean and maximum score. tracks: track_id, duration_ms."""
+def exact_mean() -> Column:
+    """Mean of the scores as they are written in decimal (0.98, not the double beside it): whatever the order of rows, without rounding errors.
+    24 digits after the point are kept. With a score that is no such decimal (10,000 or more, NaN, infinite) it is the mean of doubles."""
+    exact = F.expr("try_cast(score AS DECIMAL(28, 24))")
+    return F.when(F.count(exact) == F.count("score"), (F.sum(exact) / F.count("score")).cast("double")).otherwise(F.avg("score"))
+
+
+def match_tracks(hits: DataFrame, tracks: DataFrame, threshold: float = 0.98, exact: bool = False) -> DataFrame:
+    """Per track: hits, covered time, coverage in percent, mean and maximum score. tracks: track_id, duration_ms. exact: the mean is that of
+    the scores' decimals (exact_mean), so that one that ends in 5 rounds up; else doubles are added up in the order of the segments."""
     best = best_hits(hits, threshold)
     cover = merge_intervals(best, "track_id").groupBy("track_id").agg(F.sum(F.col("end_ms") - F.col("start_ms")).alias("covered_ms"))
-    score = best.groupBy("track_id").agg(F.count("*").alias("hits"), F.max("score").alias("max_score"))
-    score = score.join(ordered_sums(best.join(score, "track_id")), "track_id").withColumn("mean_score", F.col("total") / F.col("hits"))
+    figures = [F.count("*").alias("hits"), F.max("score").alias("max_score")]
+    if exact:
+        score = best.groupBy("track_id").agg(*figures, exact_mean().alias("mean_score"))
+    else:
+        score = best.groupBy("track_id").agg(*figures)
+        score = score.join(ordered_sums(best.join(score, "track_id")), "track_id").withColumn("mean_score", F.col("total") / F.col("hits"))
     pct = F.expr("least(100D, 100D * covered_ms / nullif(duration_ms, 0))").alias("coverage")
     return score.join(cover, "track_id").join(tracks.select("track_id", "duration_ms"), "track_id").select("track_id", "hits", "covered_ms", pct, "mean_score", "max_score")
 

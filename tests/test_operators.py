@@ -106,6 +106,34 @@ def sum_in_order(values):
     return total
 
 
+def test_audio_match_rounds_exact_mean(spark, tmp_path):
+    """14 scores of 1, 17 of 0.99 and one of 0.98 have the mean 0.9940625; doubles added up in this order fall short of it."""
+    ends = [10] * 14 + [9] * 17 + [8]
+    rows = [(11 * i + r, 1) for i, r in enumerate(ends)] + [(11 * i + r, 2) for i, r in enumerate(ends[::-1], 100)]
+    spark.createDataFrame(rows, "event_id long, user_id long").coalesce(1).write.parquet(str(tmp_path / "events.parquet"))
+    got = queries.QUERIES["audio_match"](spark, str(tmp_path)).collect()
+    assert sorted((r.track_id, r.hits, r.mean_score) for r in got) == [(u, 32, 0.994063) for u in (1, 2)]
+
+
+def test_audio_match_where_event_ids_repeat(spark, tmp_path):
+    rows = [(i, u) for i in range(8, 400) for u in (1, 2, None)] + [(9, 1)] * 3 + [(10, 3), (10, 3), (None, 1)]
+    spark.createDataFrame(rows, "event_id long, user_id long").repartition(3).write.parquet(str(tmp_path / "events.parquet"))
+    c = duckdb.connect()
+    c.execute(f"CREATE VIEW events AS SELECT * FROM read_parquet('{tmp_path}/events.parquet/*.parquet')")
+    cols = ["track_id", "hits", "covered_ms", "coverage", "max_score"]
+    want = c.execute(f"SELECT {', '.join(cols)} FROM ({queries.ORACLE['audio_match']})").fetchall()
+    got = [tuple(r[c] for c in cols) for r in queries.QUERIES["audio_match"](spark, str(tmp_path)).collect()]
+    assert sorted(got) == sorted(want) and len(got) == 3
+
+
+def test_exact_mean(spark):
+    def mean(scores):
+        return spark.createDataFrame([(x,) for x in scores], "score double").coalesce(1).agg(apps.exact_mean()).first()[0]
+
+    assert mean([0.1] * 3 + [0.2] * 7) == 0.17 and mean([0.1, 0.2, None]) == 0.15 and mean([None]) is None and mean([-0.3, 0.1]) == -0.1
+    assert mean([1e300, 1.0]) == 5e299 and math.isnan(mean([math.nan, 0.98])) and mean([math.inf, 0.98]) == math.inf
+
+
 def test_ivf_through_sql_recall(spark):
     e = spark.read.parquet(f"{SF}/embeddings.parquet")
     exact = {r.vec_id for r in vector_search.nearest(e, e.filter("vec_id = 3").first().embedding, 10).collect()}
